@@ -18,17 +18,17 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
 
 WINDOW = 8
 #: White space that separates words.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Rows on which ``Cascade.fit`` measures costs and rejections; they decide the order of rules only.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
 
 
 def words(text: Column) -> Column:
@@ -142,15 +142,19 @@ class Cascade:
 
     def fit(self, docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Cascade:
         """The same rules, by rejections per second on at most ``sample_rows`` rows."""
-        sample = written(docs.select(F.col(text).alias("t")).limit(sample_rows).withColumn("w", words(F.col("t"))), "quality-sample")
-        total = sample.count()
-        if not total:
+        rows = docs.select(F.col(text).alias("t")).take(sample_rows)  # reads the first partitions only
+        if not rows:
             return self
+        total = len(rows)
+        texts = docs.sparkSession.createDataFrame(pa.table({"t": pa.array([r["t"] for r in rows], pa.string())}))
+        sample = texts.withColumn("w", words(F.col("t"))).persist()
+        sample.count()
         measured = []
         for rule in self.rules:
             began = time.perf_counter()
             hits = sample.agg(F.count_if(rule.rejects(F.col("t"), F.col("w")))).first()[0]
             measured.append(replace(rule, seconds=time.perf_counter() - began, rejected=hits / total))
+        sample.unpersist()
         return Cascade(tuple(sorted(measured, key=lambda r: (-r.worth, r.name))))
 
     def verdict(self, text: Column, words: Column) -> Column:
