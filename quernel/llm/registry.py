@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, quality_rules
+from . import bpe, decontamination, language_id, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_bpe": bpe.op4_bpe,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op2_decontamination": decontamination.SQL, "op3_quality_rules": quality_rules.SQL}
