@@ -28,7 +28,13 @@ from pyspark.sql import functions as F
 from .common import mapped, pieces, table
 
 #: Remembered words; the memory is emptied when full.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+#: Fragments of more bytes are merged with a queue.
+LONG = 100
+#: A merge is its rank, from 1, above its new id.
+SHIFT = 24
+ID = (1 << SHIFT) - 1
+NO_MERGE = 1 << 60
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,15 +58,14 @@ class ForcedBoundaryBPE:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.token.update({i: t.encode() for t, i in self.special.items()})
         self.single = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        none: dict[int, int] = {}
+        self.merges: list[dict[int, int]] = [none] * (max(self.token) + 1)  # by left id: right id -> rank and new id
         for rank, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]):
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        inside = bytearray(65536)
-        for i in vocab.values():
-            t = self.token[i]
-            for x, y in zip(t, t[1:]):
-                inside[x << 8 | y] = 1
-        self.inside = bytes(inside)
+            if self.merges[vocab[a]] is none:
+                self.merges[vocab[a]] = {}
+            self.merges[vocab[a]][vocab[b]] = rank + 1 << SHIFT | vocab[a + b]
+        inside = {p for i in vocab.values() for p in zip(self.token[i], self.token[i][1:])}
+        self.outside = frozenset((x, y) for x in range(256) for y in range(256)) - inside
         self.words = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.text = {i: str(i) for i in self.token}
@@ -68,30 +73,49 @@ class ForcedBoundaryBPE:
 
     def fragments(self, word: bytes) -> list[bytes]:
         """The word, cut wherever a byte pair lies inside no token."""
-        inside, cuts = self.inside, [0]
-        cuts += [i for i in range(1, len(word)) if not inside[word[i - 1] << 8 | word[i]]]
+        outside = self.outside
+        if outside.isdisjoint(zip(word, word[1:])):
+            return [word]
+        cuts = [0, *(i for i, p in enumerate(zip(word, word[1:]), 1) if p in outside)]
         return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
 
     def merge(self, fragment: bytes) -> list[int]:
         """The fragment's ids: the pair of the lowest rank first, of equal ones the leftmost."""
-        ids = [self.single[b] for b in fragment]
+        single, merges = self.single, self.merges
+        ids = [single[b] for b in fragment]
+        if len(ids) > LONG:
+            return self._merge_long(ids)
+        pairs = [merges[a].get(b, NO_MERGE) for a, b in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == NO_MERGE:
+                break
+            i = pairs.index(best)
+            new = ids[i] = best & ID
+            del ids[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = merges[ids[i - 1]].get(new, NO_MERGE)
+            if i < len(pairs):
+                pairs[i] = merges[new].get(ids[i + 1], NO_MERGE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same in n log n steps, with a queue of pairs over a linked list."""
         merges, n = self.merges, len(ids)
-        if n < 2:
-            return ids
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        queue = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges[ids[i]].get(ids[i + 1]))]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
+            best, i, a, b = heapq.heappop(queue)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j], after[i] = new, -1, after[j]
+            ids[i], ids[j], after[i] = best & ID, -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (m := merges.get((ids[x], ids[y]))):
-                    heapq.heappush(queue, (m[0], x, ids[x], ids[y], m[1]))
+                if x >= 0 and y >= 0 and (m := merges[ids[x]].get(ids[y])):
+                    heapq.heappush(queue, (m, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
     def word(self, word: str) -> tuple[int, ...]:
