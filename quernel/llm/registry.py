@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, near_duplicates, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import bpe, decontamination, language_id, line_dedup, near_duplicates, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,8 +10,9 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_bpe": bpe.op4_bpe,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_near_duplicates": near_duplicates.op9_near_duplicates,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES = {"op2_decontamination": decontamination.SQL, "op3_quality_rules": quality_rules.SQL}
+ORACLES = {"op2_decontamination": decontamination.SQL, "op3_quality_rules": quality_rules.SQL, "op7_line_dedup": line_dedup.SQL}
