@@ -168,6 +168,12 @@ def _merge(batches):
         yield {"doc_id": b.column("k"), "n_words": words, "n_hit": hits, "n_items": [len(i) for i in items], "items_sha256": [_digest(i) for i in items], "contaminated": [h > 0 for h in hits]}
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without a hit, with their columns as they are."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].alias("text"))
+    return decontaminate(rows, items, key="row", text="text", **options).filter("NOT contaminated").select("doc_id.*")
+
+
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
