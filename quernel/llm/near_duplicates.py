@@ -8,10 +8,12 @@ sketch is the k smallest. Documents of equal sets form a class, and only classes
   them for certain). With values ordered by how many classes retain them, rarest first, two such
   classes therefore meet in the list of one of their first k - overlap + 1 values; only these are
   filed.
-* In a list, every class is first compared with the list's first class. Lists whose classes then
-  are in one component are done. In the others every class outside the largest component is
-  compared with the classes of other components, so no link between components is lost, and the
-  pairs within a component, which change nothing, are never made.
+* In a list, every class is compared with one *hub*, the class whose values are retained most
+  often. Where the classes around a hub then are in one component, nothing is left to do; pairs
+  within a component change nothing and are not looked for. Around other hubs the classes outside
+  the largest component are held against all the others in blocks of ``BLOCK`` sets: a task gets
+  two blocks and finds all their intersections at once by a product of incidence matrices, and
+  gives links between components only. So no link between components is lost.
 * Estimation on the union's sketch drops pairs that cannot reach t; exact Jaccard on the full
   sets, made from the whole texts again, confirms the rest.
 
@@ -45,6 +47,9 @@ SKETCH = 48
 MISS = 1e-7
 #: Classes that one task compares with the first class of a list.
 PER_TASK = 400
+#: Sets in a block, and values that are multiplied at once.
+BLOCK = 512
+COLUMNS = 1 << 14
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -107,17 +112,14 @@ def sketches(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
 
 
 def _lists(classes: DataFrame, similarity: int) -> DataFrame:
-    """Postings (v, g, c): the values under which each class is filed and that another class retains."""
-    retained = classes.select("g", "c", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    """Postings (v, g, w): the values under which each class is filed and that another class
+    retains; w adds up how many classes retain each of its values."""
+    retained = classes.select("g", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
     shared = retained.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    needed = F.lit(1)
-    for k in range(SKETCH, 0, -1):
-        needed = F.when(F.col("k") == k, F.lit(k - overlap(k, similarity) + 1)).otherwise(needed)
-    mine = retained.join(shared, "v").groupBy("g", "c", "k").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))  # at most SKETCH each
-    # The values that no other class retains come first in the order and take up places of the prefix.
-    length = F.greatest(F.lit(0), needed - F.col("k") + F.size("vs"))
-    filed = mine.select("g", "c", F.explode(F.slice("vs", F.lit(1), length)["v"]).alias("v"))
-    return filed
+    mine = retained.join(shared, "v").groupBy("g", "size").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("w"))  # at most SKETCH each
+    length = "CASE size " + " ".join(f"WHEN {k} THEN {k - overlap(k, similarity) + 1}" for k in range(1, SKETCH + 1)) + " END"
+    # Values that no other class retains come first in the order and only take up places of the prefix.
+    return mine.select("g", "w", F.explode(F.expr(f"slice(vs.v, 1, greatest(0, {length} - size + size(vs)))")).alias("v"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
@@ -179,7 +181,78 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
             yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
     together = partners.union(firsts).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return mapped(together, run, "a binary, b binary").distinct()
+    return mapped(together, run, "a binary, b binary")
+
+
+def _around(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, o, asks, n, askers): the classes b, of component o, around hubs a with different
+    components; asks: outside the largest one."""
+    own = classes.select(F.col("g").alias("b"), "c").join(found.withColumnRenamed("node", "c"), "c", "left").select("b", F.coalesce("component", "c").alias("o"))
+    named = members.select("a", "b").join(own, "b")
+    sizes = named.groupBy("a", "o").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("a").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max(F.struct("m", "o")).alias("top")).filter("parts > 1").select("a", "n", F.col("top.o").alias("largest"), (F.col("n") - F.col("top.m")).alias("askers"))
+    return named.join(mixed, "a").select("a", "b", "o", (F.col("o") != F.col("largest")).alias("asks"), "n", "askers")
+
+
+def block_links(left: list[tuple], right: list[tuple], similarity: int) -> list[tuple]:
+    """Pairs of ids of similar sets, one of ``left`` and one of ``right``, that join different
+    components; both are lists of (id, component, sorted distinct hashes)."""
+    both = [*left, *right]
+    size = np.array([len(x) for _, _, x in both])
+    owner = np.repeat(np.arange(len(both)), size)
+    _, place, times = np.unique(np.concatenate([x for _, _, x in both]), return_inverse=True, return_counts=True)
+    often = times > 1
+    column = np.cumsum(often) - 1
+    used = often[place]
+    owner, place = owner[used], column[place[used]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    same = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(often.sum()), COLUMNS):
+        lo, hi = np.searchsorted(place, (start, start + COLUMNS))
+        part = np.zeros((len(both), COLUMNS), np.float32)
+        part[owner[lo:hi], place[lo:hi] - start] = 1
+        same += part[: len(left)] @ part[len(left) :].T
+    union = size[: len(left), None] + size[None, len(left) :] - same
+    above: dict = {}
+
+    def root(o):
+        while above.setdefault(o, o) != o:
+            above[o] = o = above[above[o]]
+        return o
+
+    out = []
+    for i, j in zip(*np.nonzero(same * 100 >= similarity * union)):
+        o, p = root(left[i][1]), root(right[j][1])
+        if o != p:
+            above[o] = p
+            out.append((left[i][0], right[j][0]))
+    return out
+
+
+def _in_blocks(around: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between components around each hub."""
+    rows = around.join(sets.withColumnRenamed("g", "b"), "b")
+    wide, high = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("askers") / BLOCK)
+    h = F.xxhash64("b")
+    askers = rows.filter("asks").select("a", "b", "o", "x", F.pmod(h, high).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), wide - 1)).alias("j"), F.lit(0).alias("side"))
+    others = rows.select("a", "b", "o", "x", F.explode(F.sequence(F.lit(0).cast("long"), high - 1)).alias("i"), F.pmod(h, wide).alias("j"), F.lit(1).alias("side"))
+
+    def run(batches):
+        at, sides = None, ([], [])
+        for batch in batches:
+            out = []
+            for a, i, j, side, b, o, x in zip(*(batch.column(c).to_pylist() for c in ("a", "i", "j", "side", "b", "o", "x"))):
+                if (a, i, j) != at:
+                    out += block_links(*sides, similarity) if all(sides) else []
+                    at, sides = (a, i, j), ([], [])
+                sides[side].append((b, o, np.frombuffer(x, np.uint64)))
+            yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
+        out = block_links(*sides, similarity) if all(sides) else []
+        yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
+
+    together = askers.unionByName(others).repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    return mapped(together, run, "a binary, b binary")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -209,21 +282,20 @@ def components(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
     """Per document: doc_id, n_shingles, component_id (the smallest id reachable) and kept (doc_id = component_id)."""
     rows = written(sketches(docs, shingle, key, text), "sketches")
     classes = written(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("g").agg(F.min("doc_id").alias("c"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
-    filed = _lists(classes, similarity)
-    many = filed.groupBy("v").agg(F.count("*").alias("n"), F.min(F.struct("c", "g")).alias("first")).filter("n > 1")
-    lists = written(filed.join(many.select("v", "n", F.col("first.g").alias("a")), "v"), "lists")
+    lists = _lists(classes, similarity)
+    hubs = lists.groupBy("v").agg(F.max(F.struct("w", "g")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    members = lists.join(hubs, "v").select(F.col("hub.g").alias("a"), F.col("g").alias("b"), "n").filter("a != b")
+    members = written(members.groupBy("a", "b").agg(F.max(F.col("n") > 2).alias("wide")), "members")
+    pairs = written(_estimated(members.select("a", "b"), classes, similarity), "pairs")
+    wanted = pairs.union(members.filter("wide").select("a", "b")).select(F.explode(F.array("a", "b")).alias("g"))
+    sets = written(_sets(docs, classes, wanted, shingle, key, text), "sets")
 
-    pairs = written(_estimated(lists.filter("g != a").select("a", F.col("g").alias("b")).distinct(), classes, similarity), "pairs")
-    sets = written(_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("g")), shingle, key, text), "sets")
     links = _named(_confirmed(pairs, sets, similarity), classes).union(_shared_ids(rows, classes))
     found = written(connected(links), "components")
-
-    rest = written(_remaining(lists, classes, found, similarity), "pairs")
-    if not rest.isEmpty():
-        wanted = rest.select(F.explode(F.array("a", "b")).alias("g")).distinct()
-        more = written(_sets(docs, classes, wanted.join(sets, "g", "left_anti"), shingle, key, text), "sets")
-        links = _named(_confirmed(rest, sets.union(more), similarity), classes).union(found.toDF("u", "v"))
-        found = written(connected(links), "components")
+    around = written(_around(members.filter("wide"), classes, found), "around")
+    more = written(_named(_in_blocks(around, sets, similarity), classes), "links")
+    if not more.isEmpty():
+        found = written(connected(found.toDF("u", "v").union(more)), "components")
 
     named = classes.select("g", "c").join(found.withColumnRenamed("node", "c"), "c", "left").select("g", F.coalesce("component", "c").alias("component"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("g")).alias("g")).join(named, "g", "left")
@@ -245,18 +317,6 @@ def _named(links: DataFrame, classes: DataFrame) -> DataFrame:
     return links.join(own.toDF("a", "u"), "a").join(own.toDF("b", "v"), "b").select("u", "v")
 
 
-def _remaining(lists: DataFrame, classes: DataFrame, found: DataFrame, similarity: int) -> DataFrame:
-    """Pairs between different components of a list that were not compared with its first class."""
-    named = lists.filter("n > 2").join(found.withColumnRenamed("node", "c"), "c", "left").select("v", "a", "g", "c", F.coalesce("component", "c").alias("o"))
-    sizes = named.groupBy("v", "o").agg(F.count("*").alias("m"))
-    split = sizes.groupBy("v").agg(F.count("*").alias("parts"), F.max(F.struct("m", "o")).alias("most")).filter("parts > 1").select("v", F.col("most.o").alias("largest"))
-    members = named.join(split, "v")
-    askers = members.filter("o != largest AND g != a").select("v", F.col("g").alias("x"), F.col("o").alias("ox"))
-    asked = members.filter("g != a").select("v", F.col("g").alias("y"), F.col("o").alias("oy"))
-    met = askers.join(asked, "v").filter("ox != oy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return _estimated(met, classes, similarity)
-
-
 def keep(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept: of each component, those of its smallest id."""
     gone = components(docs, shingle, similarity, key, text).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
