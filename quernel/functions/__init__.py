@@ -1 +1 @@
-
+"""Dialect expressions as Columns."""

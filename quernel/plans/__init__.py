@@ -1 +1 @@
-
+"""Dialect syntax, planning, statistics and join order."""

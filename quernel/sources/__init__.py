@@ -1 +1 @@
-
+"""Tables, text catalogs, delimited text in and out."""

@@ -1 +1 @@
-
+"""The dialect has no streams: there is nothing here."""
