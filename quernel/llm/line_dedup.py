@@ -1,6 +1,6 @@
 """Line deduplication by a log-template tree, in DataFrame functions only.
 
-Tokens that hold a digit, an ``@`` or ``://`` are variable fields, ``<*>``. The tree has a fixed
+Single spaces part a trimmed line into tokens. Tokens that hold a digit, an ``@`` or ``://`` are variable fields, ``<*>``. The tree has a fixed
 depth: a line goes to the leaf of its number of tokens and its first ``LEADING`` tokens. Within a
 leaf, a token is constant at its place if lines of ``LEAST_DOCS`` documents or more have it there;
 others are variable fields too. A line of which ``CONSTANT`` hundredths or more are constant has
@@ -34,16 +34,17 @@ FIELD = "<*>"
 
 
 def _tokens(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(SPACES)), r"[\x20\x09-\x0D]+")
+    return F.split(F.btrim(line, F.lit(SPACES)), " ")
 
 
 def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9@]|://"), F.lit(FIELD)).otherwise(t))
 
 
-def _leaf(tokens: Column) -> Column:
+def _leaf(line: Column) -> Column:
     """The leaf's number; null for a line that always stays."""
-    return F.when(F.size(tokens) >= LEAST_TOKENS, F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, LEADING))))
+    number = lambda w: F.when(F.size(w) >= LEAST_TOKENS, F.xxhash64(F.size(w), _masked(F.slice(w, 1, LEADING))))
+    return F.transform(F.array(_tokens(line)), number)[0]  # the line is split once
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -55,10 +56,12 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
     """(k, k1, k2, gone): for each document that loses lines, their numbers."""
     rows = _identified(docs, key, text).filter("t IS NOT NULL")
-    leaves = rows.select(F.explode(F.array_distinct(F.transform(F.split("t", "\n"), lambda x: _leaf(_tokens(x))))).alias("leaf"))
+    leaves = rows.select(F.explode(F.array_distinct(F.transform(F.split("t", "\n"), _leaf))).alias("leaf"))
     busy = written(leaves.filter("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("leaf"), "leaves")
 
-    lines = rows.select("k", "k1", "k2", F.posexplode(F.split("t", "\n")).alias("i", "line")).withColumn("leaf", _leaf(_tokens(F.col("line")))).filter("leaf IS NOT NULL")
+    # The leaf is found inside the array: a filter on a column made after explode() would find it twice.
+    parted = F.filter(F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"), _leaf(x).alias("leaf"))), lambda e: e["leaf"].isNotNull())
+    lines = rows.select("k", "k1", "k2", F.explode(parted).alias("e")).select("k", "k1", "k2", "e.*")
     lines = lines.join(busy, "leaf").withColumn("tokens", _masked(_tokens(F.col("line"))))
     joined = F.array_join("tokens", " ")
     lines = written(lines.select("k", "k1", "k2", "i", "leaf", "tokens", F.xxhash64(joined).alias("l1"), F.xxhash64(F.lit(LEADING), joined).alias("l2")), "lines")
@@ -109,7 +112,7 @@ def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, md5(coalesce(text, '')) AS k FROM documents),
 a AS (SELECT r, doc_id, k, i, string_split(text, chr(10))[i] AS line FROM (SELECT r, doc_id, k, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d WHERE text IS NOT NULL)),
-b AS (SELECT r, doc_id, k, i, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS w FROM a),
+b AS (SELECT r, doc_id, k, i, list_transform(string_split(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS w FROM a),
 l AS (SELECT r, doc_id, k, i, w, array_to_string(w, ' ') AS line, concat(len(w), ' ', array_to_string(w[1:3], ' ')) AS leaf FROM b WHERE len(w) >= 3),
 busy AS (SELECT leaf FROM l GROUP BY leaf HAVING count(DISTINCT r) >= 8),
 m AS (SELECT l.* FROM l JOIN busy USING (leaf)),
@@ -121,7 +124,7 @@ t AS (SELECT leaf, line, CASE WHEN constants * 100 >= n * 70 THEN array_to_strin
 s AS (SELECT leaf, template, min((doc_id, k)) AS first FROM m JOIN t USING (leaf, line) GROUP BY leaf, template HAVING count(DISTINCT (doc_id, k)) >= 8),
 gone AS (SELECT DISTINCT r, i FROM m JOIN t USING (leaf, line) JOIN s USING (leaf, template) WHERE (doc_id, k) <> first),
 kept AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text FROM a ANTI JOIN gone USING (r, i) GROUP BY r),
-n AS (SELECT r, count(*) AS n FROM b WHERE len(w) > 0 GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM a WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 x AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
 SELECT doc_id, coalesce(n.n, 0) AS n_lines, coalesce(x.n, 0) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN x USING (r) LEFT JOIN kept USING (r)
 """
