@@ -23,6 +23,7 @@ TYPES = {"INTEGER": T.LongType(), "DOUBLE": T.DoubleType(), "STRING": T.StringTy
 
 
 def schema_of(columns) -> T.StructType:
+    columns = list(columns)
     for name, kind in columns:
         if kind not in TYPES:
             raise DialectError(f"{name}: unknown type {kind}")
