@@ -39,8 +39,8 @@ from .common import mapped, pieces, raw, table, written
 LENGTH = 400
 WINDOW = 256
 GRAM = 32
-#: Most contexts that are sorted together.
-GROUP = 2000
+#: Most contexts that are sorted together; each takes up to about 1 KB.
+GROUP = 50_000
 #: Bytes that quicksort takes as one character, and the depth beyond the core from which blind tries sort.
 CHUNK = 8
 SHALLOW = 64
