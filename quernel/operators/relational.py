@@ -2,13 +2,13 @@
 
 Predicates are conjunctions in the dialect's text, expressions its arithmetic. Names are the
 columns', case-sensitive; in a join an unqualified name is looked for on the left, then on the
-right, and ``left.`` or ``right.`` says which.
+right, and ``left.`` or ``right.`` says which; ``k = k`` is the left and the right column k.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,24 +85,23 @@ def join(left: DataFrame, right: DataFrame, cnf: str | AllOf = ()) -> DataFrame:
         s = side(name)
         return F.col(f"`{mark if s == 'right' else ''}{name.column}`"), sides[s][name.column].dataType
 
-    def key(part) -> Name | None:
-        """The right side's name if the part is a key."""
+    def key(part) -> tuple[str, str] | None:
+        """The left and the right column that the part makes equal."""
         c = part[0]
         if len(part) > 1 or c.op != "=" or not (isinstance(c.left, Name) and isinstance(c.right, Name)):
             return None
-        if side(c.left) == side(c.right) == "left" and not c.right.qualifier and c.right.column in sides["right"]:
-            c = Compare(c.left, "=", Name(c.right.column, "right"))
-        return next((n for n in (c.left, c.right) if side(n) == "right"), None) if side(c.left) != side(c.right) else None
+        if c.left == c.right and not c.left.qualifier and all(c.left.column in s for s in sides.values()):
+            return c.left.column, c.left.column
+        by_side = {side(n): n.column for n in (c.left, c.right)}
+        return (by_side["left"], by_side["right"]) if len(by_side) == 2 else None
 
     parts, dropped = [], set()
     for part in cnf:
         found = key(part)
         if found:
-            c = part[0]
-            other = c.left if found.column == c.right.column and side(c.left) == "left" else c.right if side(c.right) == "left" else c.left
-            part = (Compare(Name(other.column, "left"), "=", Name(found.column, "right")),)
-            dropped.add(found.column)
-        parts.append(reduce(lambda a, b: a | b, (comparison(c, resolve) for c in part)))
+            part = (Compare(Name(found[0], "left"), "=", Name(found[1], "right")),)
+            dropped.add(found[1])
+        parts.append(reduce(or_, (comparison(c, resolve) for c in part)))
     both = left.join(renamed, reduce(and_, parts)) if parts else left.crossJoin(renamed)
     keep = [F.col(f"`{c}`") for c in left.columns] + [F.col(f"`{mark}{c}`").alias(c) for c in right.columns if c not in dropped]
     return both.select(*keep)

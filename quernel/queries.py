@@ -188,7 +188,7 @@ def set_output_file(spark, folder):
     return spark.read.text(path).toDF("line")
 
 
-#: (relations with rows and distinct values, copies, [(predicate, relations)]); the last predicate is estimated.
+#: Fixed values, cases of the estimator: (relations with rows and distinct values, copies, [(predicate, relations)]); the last predicate is estimated.
 GOLDEN = {
     "q0": ({"supplier": (10000, {"s_suppkey": 10000}), "partsupp": (800000, {"ps_suppkey": 10000})}, {}, [("(s_suppkey = ps_suppkey)", "supplier partsupp")]),
     "q1": ({"lineitem": (6001215, {"l_returnflag": 3, "l_discount": 11, "l_shipmode": 7})}, {}, [("(l_returnflag = 'R') AND (l_discount < 0.04 OR l_shipmode = 'MAIL')", "lineitem")]),

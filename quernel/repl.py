@@ -1,4 +1,7 @@
-"""Reads statements up to their semicolons, runs them and prints what they give."""
+"""Reads statements up to their semicolons, runs them and prints what they give.
+
+``python -m quernel.repl FOLDER`` reads standard input, over a folder of Parquet tables.
+"""
 
 from __future__ import annotations
 
@@ -43,3 +46,9 @@ def run(session: Session, lines: TextIO = sys.stdin, out: TextIO = sys.stdout) -
             print(f"({result.seconds:.2f} secs)", file=out)
         except Exception as e:  # noqa: BLE001  whatever a statement raises, the next one is read
             print(f"error: {e}", file=out)
+
+
+if __name__ == "__main__":
+    from pyspark.sql import SparkSession
+
+    run(Session.of(SparkSession.builder.appName("quernel").getOrCreate(), sys.argv[1]))
