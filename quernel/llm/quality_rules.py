@@ -173,7 +173,8 @@ class Cascade:
 
     def keep(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The rows of ``docs`` that no rule rejects, with their columns as they are."""
-        return docs.filter(self.verdict(docs[text], words(docs[text])))
+        # The words are bound to a variable, so that they are split once for a row and not in every rule.
+        return docs.filter(F.transform(F.array(words(docs[text])), lambda w: self.verdict(docs[text], w))[0])
 
 
 def features(docs: DataFrame, cascade: Cascade, key: str = "doc_id", text: str = "text") -> DataFrame:
