@@ -241,7 +241,7 @@ def _twice(df: DataFrame, *keys: str) -> DataFrame:
 
 def _contexts(named: DataFrame, asked: DataFrame, reach: Reach) -> DataFrame:
     """The bytes around the asked anchors (core, k1, k2, at, single)."""
-    by_text = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "at", "single")).alias("asked"))  # at most the anchors of one text
+    by_text = written(asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "at", "single")).alias("asked")), "by-text")  # at most the anchors of one text
 
     def run(batches):
         seen = set()
@@ -311,10 +311,11 @@ def repeated(named: DataFrame, length: int = LENGTH, window: int = WINDOW, group
     """(k1, k2, places, ranges): anchors of texts whose whole context is repeated, and repeated (start, end)."""
     reach = Reach(length, window)
     found = _anchored(named, reach, window)
-    cores = _twice(found, "core").filter(_TWICE).select("core")
+    # Counts are tables of their own before they are joined, so that Spark can split the join's hot keys.
+    cores = written(_twice(found, "core").filter(_TWICE).select("core"), "cores")
     live = written(found.join(cores, "core"), "anchors")
     contexts = written(_twice(live, "core", "u1", "u2").select("core", "u1", "u2", F.expr(_TWICE).alias("settled"), "low"), "contexts")
-    open_cores = contexts.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("settled")).alias("singles")).filter("n > 1 AND singles > 0").select("core", "n")
+    open_cores = written(contexts.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("settled")).alias("singles")).filter("n > 1 AND singles > 0").select("core", "n"), "open-cores")
     asked = written(contexts.join(open_cores, "core").select("core", "n", "low.k1", "low.k2", "low.at", (~F.col("settled")).alias("single")), "asked")
     ranges = _sorted_groups(_contexts(named, asked.filter(F.col("n") <= group), reach), reach)
     many = asked.filter(F.col("n") > group)
@@ -355,7 +356,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     named = _named(docs, key, text)
     reach = Reach(length, window)
     copies = named.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2", F.lit(True).alias("copies"))
-    marks = repeated(named, length, window, group).join(copies, ["k1", "k2"], "full")
+    marks = written(repeated(named, length, window, group).join(copies, ["k1", "k2"], "full"), "marks")
 
     def run(batches):
         for b in pieces(batches, "t"):
