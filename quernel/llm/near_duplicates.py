@@ -161,7 +161,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int,
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) of similar sets. The partners of one class are dealt into groups of about PER_TASK."""
-    many = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    many = written(pairs.groupBy("a").agg(F.count("*").alias("n")), "many")
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PER_TASK)).alias("part"))
     partners = dealt.join(sets.withColumnRenamed("g", "b"), "b").select("a", "part", "b", "x")
     firsts = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("g", "a"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "x")
@@ -282,7 +282,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
     """Per document: doc_id, n_shingles, component_id (the smallest id reachable) and kept (doc_id = component_id)."""
     rows = written(sketches(docs, shingle, key, text), "sketches")
     classes = written(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("g").agg(F.min("doc_id").alias("c"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
-    lists = _lists(classes, similarity)
+    lists = written(_lists(classes, similarity), "lists")
     hubs = lists.groupBy("v").agg(F.max(F.struct("w", "g")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = lists.join(hubs, "v").select(F.col("hub.g").alias("a"), F.col("g").alias("b"), "n").filter("a != b")
     members = written(members.groupBy("a", "b").agg(F.max(F.col("n") > 2).alias("wide")), "members")
