@@ -77,11 +77,12 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     general = judged.groupBy("leaf", "l1", "l2").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(FIELD)).alias("x")))), lambda e: e["x"]).alias("general"), F.count_if("constant").alias("constants"), F.count("*").alias("n"))
     named = distinct.join(general, ["leaf", "l1", "l2"])
     template = F.array_join(F.when(F.col("constants") * 100 >= F.col("n") * CONSTANT, F.col("general")).otherwise(F.col("tokens")), " ")
-    named = named.select("leaf", "l1", "l2", F.xxhash64(template).alias("t1"), F.xxhash64(F.lit(LEADING), template).alias("t2"))
+    # A table of its own before it is joined, so that Spark can split the join's hot keys.
+    named = written(named.select("leaf", "l1", "l2", F.xxhash64(template).alias("t1"), F.xxhash64(F.lit(LEADING), template).alias("t2")), "named")
 
     lines = written(lines.select("k", "k1", "k2", "i", "leaf", "l1", "l2").join(named, ["leaf", "l1", "l2"]).drop("l1", "l2"), "templates")
     seen = lines.groupBy("leaf", "t1", "t2", "k", "k1", "k2").agg(F.lit(1))
-    recurring = seen.groupBy("leaf", "t1", "t2").agg(F.count("*").alias("docs"), F.min(document).alias("first")).filter(F.col("docs") >= least_docs).select("leaf", "t1", "t2", "first")
+    recurring = written(seen.groupBy("leaf", "t1", "t2").agg(F.count("*").alias("docs"), F.min(document).alias("first")).filter(F.col("docs") >= least_docs).select("leaf", "t1", "t2", "first"), "recurring")
     gone = lines.join(recurring, ["leaf", "t1", "t2"]).filter(~document.eqNullSafe(F.col("first")))
     return gone.groupBy("k", "k1", "k2").agg(F.collect_set("i").alias("gone"))  # at most a document's lines
 
