@@ -26,8 +26,6 @@ empty table; columns other than id and text are not read.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
