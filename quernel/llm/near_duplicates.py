@@ -190,7 +190,8 @@ def _around(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFra
     own = classes.select(F.col("g").alias("b"), "c").join(found.withColumnRenamed("node", "c"), "c", "left").select("b", F.coalesce("component", "c").alias("o"))
     named = members.select("a", "b").join(own, "b")
     sizes = named.groupBy("a", "o").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("a").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max(F.struct("m", "o")).alias("top")).filter("parts > 1").select("a", "n", F.col("top.o").alias("largest"), (F.col("n") - F.col("top.m")).alias("askers"))
+    mixed = sizes.groupBy("a").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max(F.struct("m", "o")).alias("top")).filter("parts > 1")
+    mixed = written(mixed.select("a", "n", F.col("top.o").alias("largest"), (F.col("n") - F.col("top.m")).alias("askers")), "mixed")
     return named.join(mixed, "a").select("a", "b", "o", (F.col("o") != F.col("largest")).alias("asks"), "n", "askers")
 
 
