@@ -3,9 +3,10 @@
 A rule blocks or allows a host with all its subdomains, for paths with a given beginning; of the
 rules that fit a URL the longest decides. Where none fits, the method does:
 
-* *Segmentation*: a host label is split into words by unigram Viterbi. Word counts come from the
-  tables' own hosts (each different host once) and path words, and from the fixed lists below. A
-  label of which a part would be no known word stays whole.
+* *Segmentation*: a host label is split into words by unigram Viterbi. Word counts come from path
+  words, once for each different host that does not hold the word itself, and from the fixed lists
+  below: a label's own hosts do not make it a word. A label of which a part would be no known word
+  stays whole.
 * *Naive Bayes*: different hosts and path words whose segments hold a word of ``STRONG`` or two of
   ``WEAK`` are examples of *block*, the others of *allow*. A multinomial model over the hashed
   tokens of host and path then scores every URL, so that words that keep company with the lists'
@@ -137,10 +138,9 @@ def _parts(pages: DataFrame, url: str) -> DataFrame:
 
 
 def fit_words(kinds: DataFrame) -> Words:
-    """Counts from the different (host, path words)."""
-    names = kinds.select("host").distinct().select(F.explode(F.split("host", "[^a-z]+")).alias("w"))
-    paths = kinds.select(F.explode(F.split("path", " ")).alias("w"))
-    counted = names.union(paths).filter("w != ''").groupBy("w").agg(F.count("*").alias("n"))
+    """Counts of path words from the different (host, path words): a word's hosts without those that hold it."""
+    paths = kinds.select("host", F.explode(F.array_distinct(F.split("path", " "))).alias("w"))
+    counted = paths.filter("w != '' AND NOT contains(host, w)").distinct().groupBy("w").agg(F.count("*").alias("n"))
     cells = counted.select("n", F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.pmod(F.xxhash64(F.concat(F.lit(str(r)), "w")), F.lit(WIDTH)).cast("int").alias("b")) for r in range(ROWS)))).alias("c"))
     got = cells.groupBy("c.r", "c.b").agg(F.sum("n").alias("n")).toArrow()  # at most ROWS * WIDTH
     counts = np.zeros((ROWS, WIDTH))

@@ -117,6 +117,13 @@ def test_url_verdicts(spark):
     assert url_filters.judge(pages.limit(0)).count() == 0
 
 
+def test_hosts_do_not_vouch_for_their_own_labels(spark):
+    names = [f"http://{sub}{label}.example.org/fr/{label}" for label in ("freecasino", "quietname", "goodbooks") for sub in ("", "www.", "m.", "blog.")]
+    pages = spark.createDataFrame(list(enumerate(names)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages).collect()}
+    assert [got[i] for i in range(12)] == ["block"] * 4 + ["allow"] * 8
+
+
 def test_url_query_covers_all_pages(spark):
     rows = url_filters.op5_url_filters(spark, SMALL).collect()
     assert len(rows) == 250
