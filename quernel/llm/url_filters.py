@@ -12,7 +12,10 @@ rules that fit a URL the longest decides. Where none fits, the method does:
   tokens of host and path then scores every URL, so that words that keep company with the lists'
   words count as well.
 
-Both models have a fixed size (count-min rows and hashed buckets), however many hosts there are.
+Word counts are exact: they stay a table, which is joined with the pieces of the different labels. A
+count-min sketch of a fixed size, which never counts too low, only tells which pieces need not be
+looked up. The lists' words have half of all weight at least, however many words there are. The
+Bayes model has a fixed size (hashed buckets).
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is
 scored as an empty set of tokens; rows are judged one by one, repeated ones too; an empty table
@@ -28,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, table, written
@@ -45,7 +48,10 @@ ROWS, WIDTH = 3, 1 << 16
 BUCKETS = 1 << 16
 LONGEST = 24
 ALPHA = 0.05
+#: Least weight of a word of the lists, and count from which another is known.
 LISTED = 50.0
+LEAST = 2
+LISTS = STRONG | WEAK | COMMON
 
 _URL = re.compile(r".*?://([^/?#]*)([^?#]*)", re.S)
 _UPPER = {c: c + 32 for c in range(0x41, 0x5B)}
@@ -80,25 +86,31 @@ class Rules:
 
 @dataclass(frozen=True)
 class Words:
-    """Word counts in a count-min sketch; the lists' words have ``LISTED`` more."""
+    """A count-min sketch of word counts; the lists' words have ``weight`` more."""
 
     counts: np.ndarray
     total: float
+    weight: float = LISTED
 
-    def count(self, word: str) -> float:
-        listed = LISTED * (word in STRONG or word in WEAK or word in COMMON)
-        return listed + float(min(self.counts[r, xxhash.xxh64_intdigest(f"{r}{word}", seed=42) % WIDTH] for r in range(ROWS)))
+    def asked(self, label: str) -> set[str]:
+        """The pieces of a label whose counts matter and may be more than 0."""
+        found = {label[at:end] for at in range(len(label)) for end in range(at + 1, min(len(label), at + LONGEST) + 1) if end - at > 1 or len(label) == 1}
+        return {w for w in found if (most := self._most(w)) and (most >= LEAST or w in LISTS)}
 
-    def segment(self, label: str) -> tuple[str, ...]:
-        """The likeliest split into known words, or the label itself."""
-        n = len(label)
+    def _most(self, word: str) -> float:
+        return min(self.counts[r, xxhash.xxh64_intdigest(f"{r}{word}", seed=42) % WIDTH] for r in range(ROWS))
+
+    def segment(self, label: str, exact: dict[str, int] | None = None) -> tuple[str, ...]:
+        """The likeliest split into known words by their exact counts, or the label itself."""
+        n, exact = len(label), exact or {}
         best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * n
         for end in range(1, n + 1):
             for start in range(max(0, end - LONGEST), end):
                 if best[start][0] == -math.inf or (end - start < 2 and n > 1):
                     continue
-                c = self.count(label[start:end])
-                if c >= 2:
+                word = label[start:end]
+                c = self.weight * (word in LISTS) + exact.get(word, 0)
+                if c >= LEAST:
                     p = best[start][0] + math.log(c / self.total)
                     if p > best[end][0]:
                         best[end] = (p, start)
@@ -114,16 +126,9 @@ class Words:
 _LETTERS = re.compile("[a-z]+").findall
 
 
-def tokens(host: str, path: str, words: Words, known: dict[str, tuple[str, ...]]) -> list[str]:
+def tokens(names: list[str] | None, path: str) -> list[str]:
     """Words of the host and, marked, of the path; whatever is not a letter parts them."""
-    out = []
-    for label in _LETTERS(host):
-        if label not in known:
-            if len(known) >= 200_000:
-                known.clear()
-            known[label] = words.segment(label)
-        out.extend(known[label])
-    return out + ["/" + w for w in _LETTERS(path.lower())]
+    return [*(names or ()), *("/" + w for w in _LETTERS(path.lower()))]
 
 
 def listed(found: list[str]) -> bool:
@@ -131,21 +136,54 @@ def listed(found: list[str]) -> bool:
     return bool(plain & STRONG) or len(plain & WEAK) > 1
 
 
+def _host(url: str) -> Column:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "(?s)^.*?://([^/?#]*)", 1), upper, lower).alias("host")
+
+
 def _parts(pages: DataFrame, url: str) -> DataFrame:
     u = F.coalesce(F.col(url), F.lit(""))
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return pages.select(F.translate(F.regexp_extract(u, "(?s)^.*?://([^/?#]*)", 1), upper, lower).alias("host"), F.regexp_replace(F.lower(F.regexp_extract(u, "(?s)^.*?://[^/?#]*([^?#]*)", 1)), "[^a-z]+", " ").alias("path"))
+    return pages.select(_host(url), F.regexp_replace(F.lower(F.regexp_extract(u, "(?s)^.*?://[^/?#]*([^?#]*)", 1)), "[^a-z]+", " ").alias("path"))
 
 
-def fit_words(kinds: DataFrame) -> Words:
-    """Counts of path words from the different (host, path words): a word's hosts without those that hold it."""
+def fit_words(kinds: DataFrame) -> tuple[Words, DataFrame]:
+    """Counts (w, n) of path words from the different (host, path words), a word's hosts without
+    those that hold it, and their sketch."""
     paths = kinds.select("host", F.explode(F.array_distinct(F.split("path", " "))).alias("w"))
-    counted = paths.filter("w != '' AND NOT contains(host, w)").distinct().groupBy("w").agg(F.count("*").alias("n"))
+    counted = written(paths.filter("w != '' AND NOT contains(host, w)").distinct().groupBy("w").agg(F.count("*").alias("n")), "words")
     cells = counted.select("n", F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.pmod(F.xxhash64(F.concat(F.lit(str(r)), "w")), F.lit(WIDTH)).cast("int").alias("b")) for r in range(ROWS)))).alias("c"))
     got = cells.groupBy("c.r", "c.b").agg(F.sum("n").alias("n")).toArrow()  # at most ROWS * WIDTH
     counts = np.zeros((ROWS, WIDTH))
     counts[got["r"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
-    return Words(counts, float(counts[0].sum()) + LISTED * len(STRONG | WEAK | COMMON))
+    weight = max(LISTED, float(counts[0].sum()) / len(LISTS))
+    return Words(counts, float(counts[0].sum()) + weight * len(LISTS), weight), counted
+
+
+def host_words(kinds: DataFrame) -> DataFrame:
+    """(host, names): the words of each different host that has any, in order."""
+    words, counted = fit_words(kinds)
+    shared = kinds.sparkSession.sparkContext.broadcast(words)
+    hosts = written(kinds.select("host").distinct(), "hosts")
+    placed = hosts.select("host", F.posexplode(F.split("host", "[^a-z]+")).alias("p", "label")).filter("label != ''")
+    # Pieces go with a label's digest, as labels may be long.
+    labels = written(placed.select("label").distinct().withColumn("g", F.md5("label")), "labels")
+
+    def ask(batches):
+        for b in batches:
+            for g, label in zip(b.column("g").to_pylist(), b.column("label").to_pylist()):
+                if found := sorted(shared.value.asked(label)):
+                    yield {"g": [g] * len(found), "w": found}
+
+    def split(batches):
+        for b in batches:
+            labels = b.column("label").to_pylist()
+            yield {"label": labels, "names": [list(shared.value.segment(x, {e["w"]: e["n"] for e in found or ()})) for x, found in zip(labels, b.column("found").to_pylist())]}
+
+    # Tables of their own before joins, so that Spark can split the joins' hot keys.
+    found = written(mapped(labels, ask, "g string, w string"), "pieces").join(counted, "w").groupBy("g").agg(F.collect_list(F.struct("w", "n")).alias("found"))  # at most LONGEST for each letter
+    parted = written(mapped(labels.join(found, "g", "left").select("label", "found"), split, "label string, names array<string>"), "segments")
+    named = placed.join(parted, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("p", "names"))).alias("e"))
+    return written(named.select("host", F.flatten("e.names").alias("names")), "host-words")
 
 
 @dataclass(frozen=True)
@@ -164,17 +202,14 @@ def _bucket(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token) % BUCKETS
 
 
-def fit_bayes(kinds: DataFrame, words: Words) -> Bayes:
-    shared = kinds.sparkSession.sparkContext.broadcast(words)
-
+def fit_bayes(kinds: DataFrame, names: DataFrame) -> Bayes:
     def run(batches):
-        known: dict = {}
         for b in batches:
-            rows = [tokens(h, p, shared.value, known) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
+            rows = list(map(tokens, b.column("names").to_pylist(), b.column("path").to_pylist()))
             out = [(int(y), k) for t in rows for y in (listed(t),) for k in [-1, *map(_bucket, t)]]
             yield {"y": [y for y, _ in out], "k": [k for _, k in out]}
 
-    got = mapped(kinds, run, "y int, k int").groupBy("y", "k").agg(F.count("*").alias("n")).toArrow()  # at most 2 * BUCKETS + 2
+    got = mapped(kinds.join(names, "host", "left").select("names", "path"), run, "y int, k int").groupBy("y", "k").agg(F.count("*").alias("n")).toArrow()  # at most 2 * BUCKETS + 2
     counts, rows = np.zeros((2, BUCKETS)), np.ones(2)
     for y, k, n in zip(*(got[c].to_pylist() for c in ("y", "k", "n"))):
         if k < 0:
@@ -192,22 +227,22 @@ def fit_bayes(kinds: DataFrame, words: Words) -> Bayes:
 def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """Per page: page_id, host, path, rule, verdict and, where the method decides, its log odds."""
     kinds = written(_parts(pages, url).distinct(), "url-kinds")
-    words = fit_words(kinds)
-    shared = pages.sparkSession.sparkContext.broadcast((Rules(rules), words, fit_bayes(kinds, words)))
+    names = host_words(kinds)
+    shared = pages.sparkSession.sparkContext.broadcast((Rules(rules), fit_bayes(kinds, names)))
 
     def run(batches):
-        known: dict = {}
-        rules, words, bayes = shared.value
+        rules, bayes = shared.value
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("host", "path", "rule", "verdict", "score")}
-            for host, path in map(split_url, b.column("u").to_pylist()):
+            for (host, path), own in zip(map(split_url, b.column("u").to_pylist()), b.column("names").to_pylist()):
                 found = rules.find(host, path)
-                score = None if found else bayes.score(tokens(host, path, words, known))
+                score = None if found else bayes.score(tokens(own, path))
                 for c, v in (("host", host), ("path", path), ("rule", found and found[0]), ("verdict", found[1] if found else "block" if score > 0 else "allow"), ("score", score)):
                     out[c].append(v)
             yield {"page_id": b.column("k"), **out}
 
-    return mapped(pages.select(F.col(key).alias("k"), F.col(url).alias("u")), run, f"page_id {pages.schema[key].dataType.simpleString()}, host string, path string, rule string, verdict string, score double")
+    rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), _host(url)).join(names, "host", "left").select("k", "u", "names")
+    return mapped(rows, run, f"page_id {pages.schema[key].dataType.simpleString()}, host string, path string, rule string, verdict string, score double")
 
 
 def op5_url_filters(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernel.llm import language_id, quality_classifier, toxicity, url_filters
 
@@ -124,6 +125,18 @@ def test_hosts_do_not_vouch_for_their_own_labels(spark):
     assert [got[i] for i in range(12)] == ["block"] * 4 + ["allow"] * 8
 
 
+def test_many_words_do_not_make_a_label_known(spark):
+    letters = F.translate(F.hex(F.col("page_id") * 20 + F.lit(1 << 24) + F.col("x")), "0123456789ABCDEF", "abcdefghijklmnop")
+    many = spark.range(10_000).withColumnRenamed("id", "page_id").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(19)))).groupBy("page_id").agg(F.array_join(F.collect_list(letters), "/").alias("w"))
+    names = [f"http://{sub}{label}.example.org/fr/" for label in ("freecasino", "quietname") for sub in ("", "www.", "m.", "blog.")]
+    pages = spark.createDataFrame([(-1 - i, u) for i, u in enumerate(names)], "page_id long, url string")
+    kinds = url_filters._parts(pages.union(many.select("page_id", F.concat(F.lit("http://h"), "page_id", F.lit(".example.org/fr/"), "w"))), "url")
+    got = {r["host"]: r["names"] for r in url_filters.host_words(kinds).collect()}
+    assert got["www.freecasino.example.org"][1:3] == ["free", "casino"] and got["m.quietname.example.org"][1] == "quietname"
+    pages = pages.union(many.limit(500).select("page_id", F.concat(F.lit("http://h"), "page_id", F.lit(".example.org/fr/"), "w")))
+    assert sum(r["verdict"] == "block" for r in url_filters.judge(pages).collect()) == 4
+
+
 def test_url_query_covers_all_pages(spark):
     rows = url_filters.op5_url_filters(spark, SMALL).collect()
     assert len(rows) == 250
