@@ -14,7 +14,7 @@ Learned from at most ``TRAINING_ROWS`` labelled rows, those of the smallest hash
 
 * insult forms, whole words or beginnings of 4 to 8 letters: those for which the texts that
   hold them are toxic far more often than texts are on the whole (a binomial tail bound
-  over all forms that occur). Near copies count once there: texts with the same smallest word hash.
+  over all forms that occur). Confirmed near copies of the same label count once there.
 * the patterns' weights, by logistic regression with a normal prior around ``PRIOR``.
 
 Defined results: null and empty texts match nothing and score as the intercept does; labels
@@ -32,11 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mapped, pieces, table
+from .common import held_out, mapped, pieces, raw, table, written
+from .near_duplicates import SHINGLE, SIMILARITY, components, shingle_set
 from .quality_classifier import labelled_sample
 
 TRAINING_ROWS = 20_000
@@ -130,13 +130,32 @@ def forms(words: set[str]) -> set[str]:
     return out
 
 
-def learn_forms(train: DataFrame) -> frozenset[str]:
-    """Insult forms from rows (k, t, y); near copies, texts of the same smallest hash of a longer word, count once."""
+def without_copies(train: DataFrame) -> DataFrame:
+    """(t, y) of rows (k, t, y) that are no near copy of another of their label, which is there.
+
+    Equal texts are one row. Of each component of near-duplicates the text of the smallest digest
+    stays, and of the others those that exact Jaccard similarity doesn't confirm as its copies.
+    """
+    rows = written(train.groupBy(F.md5("t").alias("r"), "y").agg(F.first("t").alias("t")), "labelled")
+    parts = components(rows.select("r", "t").dropDuplicates(["r"]), key="r", text="t").select(F.col("doc_id").alias("r"), F.col("component_id").alias("c"))
+    parted = written(rows.join(parts, "r").select("r", "y", "c"), "parted")
+    first = parted.groupBy("c", "y").agg(F.min("r").alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = written(parted.join(first, ["c", "y"]).filter("r != f").select("r", "y", "f"), "copies")
+    both = pairs.join(rows, ["r", "y"]).join(rows.select(F.col("r").alias("f"), "y", F.col("t").alias("of")), ["f", "y"])
 
-    def signs(batches):
+    def confirm(batches):
         for b in pieces(batches, "t"):
-            words = [{w for w in _WORDS(t.lower()) if len(w) > 4} for t in b.column("t").to_pylist()]
-            yield {"k": b.column("k"), "t": b.column("t"), "y": b.column("y"), "s": [min(map(xxhash.xxh64_intdigest, w), default=0) >> 1 for w in words]}
+            sets = [[shingle_set(t, SHINGLE) for t in raw(b.column(c))] for c in ("t", "of")]
+            same = [len(np.intersect1d(x, z, assume_unique=True)) for x, z in zip(*sets)]
+            gone = [i for i, (n, x, z) in enumerate(zip(same, *sets)) if n * 100 >= SIMILARITY * (len(x) + len(z) - n)]
+            yield {c: b.column(c).take(pa.array(gone, pa.int64())) for c in ("r", "y")}
+
+    gone = written(mapped(both.select("r", "y", "t", "of"), confirm, "r string, y int"), "gone")
+    return rows.join(gone, ["r", "y"], "left_anti").select("t", "y")
+
+
+def learn_forms(train: DataFrame) -> frozenset[str]:
+    """Insult forms from rows (k, t, y); near copies count once."""
 
     def count(batches):
         seen = (Counter(), Counter())
@@ -148,10 +167,7 @@ def learn_forms(train: DataFrame) -> frozenset[str]:
         every = ["", *(set(seen[0]) | set(seen[1]))]
         yield {"form": every, "clean": [rows[0], *(seen[0][f] for f in every[1:])], "toxic": [rows[1], *(seen[1][f] for f in every[1:])]}
 
-    key = train.schema["k"].dataType.simpleString()
-    signed = mapped(train, signs, f"k {key}, t string, y int, s long")
-    one = signed.groupBy("s", "y").agg(F.min_by("t", "k").alias("t"))
-    counted = mapped(one.select("t", "y"), count, "form string, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= LEAST_TEXTS)
+    counted = mapped(without_copies(train), count, "form string, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= LEAST_TEXTS)
     counted = counted.persist()
     try:
         total = counted.filter("form = ''").first()

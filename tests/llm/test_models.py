@@ -53,6 +53,19 @@ def test_toxicity_of_held_out_documents(spark):
     assert np.mean([p for t, p in held if t]) > 0.5 and np.mean([p for t, p in held if not t]) < 0.02
 
 
+def test_only_near_copies_count_once(spark):
+    long = " ".join(f"word{i} stays" for i in range(40))
+    base = [("aardvark " + w, 1) for w in ("one two", "three four", "five six")] + [(long, 1), (long + " too", 1), (long, 1), (long, 0), ("", 0), (" ", 0)]
+    train = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(base)], "k long, t string, y int")
+    got = [(r["t"], r["y"]) for r in toxicity.without_copies(train).collect()]
+    assert len(got) == 7 and len({t for t, y in got if y == 1 and t.startswith("aardvark")}) == 3
+    assert sum(t.startswith("word0") and y == 1 for t, y in got) == 1 and (long, 0) in got
+    # Texts that only share the word of the smallest hash are learned from one by one
+    rows = [(f"aardvark {w} grobian", 1) for w in ("ab", "cd", "ef", "gh", "ij", "kl", "mn", "op")] + [(f"{a}{b} fine", 0) for a in "abcdefghij" for b in "qrstuvwxyz"]
+    train = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "k long, t string, y int")
+    assert any("grobian".startswith(f.rstrip("*")) for f in toxicity.learn_forms(train))
+
+
 @pytest.mark.parametrize("module, label", [(quality_classifier, "quality"), (toxicity, "toxic")])
 def test_classifier_edges(spark, module, label):
     docs = spark.createDataFrame([(1, None, 9), (2, "", 9), (2, "good words here", 9), (None, "x " * 30_000, 9)], "doc_id long, text string, y int")
