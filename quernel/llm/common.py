@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset on one machine (a
+    ``local`` master, as in tests) a temporary folder takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quernel-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,9 +45,82 @@ def written(df: DataFrame, name: str) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
+    for made in _SCOPES:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The places of the tables that are written inside it, in order."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES[:] = [x for x in _SCOPES if x is not made]
+
+
+def erase(spark: SparkSession, places: list[str]) -> None:
+    """Deletes tables that ``written`` made and that nothing needs any more."""
+    for path in places:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
+_HASHES = _WordHashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, from the words' hashes."""
+    n = max(0, len(words) - size + 1)
+    mixed = np.zeros(n, np.uint64)
+    for i in range(size):
+        mixed = (mixed ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ mixed >> np.uint64(32)
+
+
+class Sieve:
+    """A bit for each remainder of a 64-bit hash: tells for certain that a hash is not among those
+    it was made from, and lets some others through. Its size is fixed (4 MB)."""
+
+    BITS = 1 << 25
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> Sieve:
+        cell = F.pmod(F.col(column), F.lit(cls.BITS))
+        bits = df.select(F.floor(cell / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int")).alias("x"))
+        got = bits.groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()  # at most BITS / 64 rows
+        table = np.zeros(cls.BITS // 64, np.int64)
+        table[got["w"].to_numpy()] = got["x"].to_numpy()
+        return cls(table)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        cell = hashes & np.uint64(64 * len(self.table) - 1)
+        words = self.table[(cell >> np.uint64(6)).astype(np.int64)].view(np.uint64)
+        return (words >> (cell & np.uint64(63))) & np.uint64(1) != 0
+
+
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of a key as text, modulo ``modulus``; null keys have none."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
@@ -80,6 +159,7 @@ def ship(spark: SparkSession) -> None:
         return
     package = Path(__file__).resolve().parents[1]
     stage = Path(tempfile.mkdtemp(prefix="quernel-"))
+    atexit.register(shutil.rmtree, stage, ignore_errors=True)
     shutil.copytree(package, stage / "code" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(str(stage / package.name), "zip", stage / "code"))
     context._quernel_shipped = True

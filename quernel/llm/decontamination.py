@@ -1,36 +1,40 @@
 """Benchmark decontamination: which words of a document lie inside a benchmark passage.
 
-A prefix-filtered set join over item-sized windows. Exact containment of a window of L words
-needs all L of them, so L - L + 1 = 1 token is a sufficient prefix: every window is filed
-under its rarest word, rarity being counted over all documents. A document probes only its
-words that head some window; the word's place in the window fixes where the window would
-start (the positional bound), the start and the length must fit the document (the length
-bound), and the window's words are then compared one by one.
-
-The index of windows is sent to the tasks in blocks of at most ``BLOCK`` (window, item)
-pairs, so what is broadcast has a fixed bound; a benchmark of more pairs takes one pass over
-the documents for each block, and the blocks' hits are merged by document.
+A prefix-filtered set join over item-sized windows. A window is the set of its word shingles
+with their places. Exact containment of a window of n shingles needs all of them, so that a prefix of
+n - n + 1 = 1 shingle, the rarest, is the necessary one; rarity is counted over all documents.
+
+1. Windows of the items, and the shingles (``GRAM`` words, fewer in shorter windows) of each.
+2. Rarity: every document counts its shingles that may be among the windows'.
+3. Each window is filed under its rarest shingle.
+4. Join: a document sends its shingles that may head a window, each with the words around it,
+   and these meet the windows of the same shingle. The shingle's place fixes where the window would
+   start (the positional bound), start and length must fit the document (the length bound), and
+   the window's words are then compared as they are.
+
+Windows, counts, prefixes and hits are tables; only the ``Sieve`` of the shingles, of fixed size,
+reaches the driver and is broadcast. It spares documents from sending what can't match; however
+many windows there are, the join decides.
 
 Defined results: a null or empty text has no words; an item without words has no windows; an
 item whose id is null contaminates but is not listed; repeated item ids count once; repeated
-documents are judged one by one; an empty benchmark leaves every document clean; columns
-other than id and text are not read.
+documents are judged one by one (equal texts are sent once); an empty table of items leaves every
+document clean, one of documents gives an empty table; equally rare shingles are tried in the order of
+their hashes; a text is read whole, whatever its length; columns other than id and text are not
+read, and pass unchanged through ``keep_clean`` whatever their names are.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, pieces, raw, table, written
+from .common import Sieve, mapped, pieces, raw, shingle_hashes, table, word_hashes, written
 
 WINDOW = 10
-#: Most (window, item) pairs in one broadcast index.
-BLOCK = 200_000
+#: Words in a shingle.
+GRAM = 3
 
 _WORD = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TO = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD else 0x20 for b in range(256))
@@ -52,126 +56,121 @@ def item_windows(items: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
     def run(batches):
         for b in pieces(batches, "t"):
-            out = [(b" ".join(w), k) for k, t in zip(b.column("k").to_pylist(), raw(b.column("t"))) for w in dict.fromkeys(windows_of(split_words(t), size))]
+            out = [(b" ".join(w).decode(), k) for k, t in zip(b.column("k").to_pylist(), raw(b.column("t"))) for w in dict.fromkeys(windows_of(split_words(t), size))]
             yield {"window": [w for w, _ in out], "item": [k for _, k in out]}
 
-    return mapped(items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")), run, "window binary, item string").distinct()
+    return mapped(items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")), run, "window string, item string").distinct()
 
 
-def word_counts(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """How often the words of one block's index occur in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """(window, n, size, at, h): a window's words n, and its shingles of ``size`` words at their places."""
 
     def run(batches):
-        seen: Counter = Counter()
-        known = shared.value
-        for b in pieces(batches, "t"):
-            for t in raw(b.column("t")):
-                seen.update(w for w in split_words(t) if w in known)
-        yield {"word": list(seen), "n": list(seen.values())}
-
-    counted = mapped(docs.select(F.col(text).alias("t")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in counted.collect()}
-
-
-class WindowIndex:
-    """Windows filed under their rarest word."""
-
-    def __init__(self, pairs: list[tuple[bytes, str | None]], counts: dict[bytes, int]):
-        items: dict[bytes, list[str]] = defaultdict(list)
-        for window, item in pairs:
-            items[window] += [] if item is None else [item]
-        self.by_word: dict[bytes, list[tuple[int, list[bytes], tuple[str, ...]]]] = defaultdict(list)
-        for window, ids in items.items():
-            words = window.split()
-            offset = min(range(len(words)), key=lambda i: (counts.get(words[i], 0), words[i], i))
-            self.by_word[words[offset]].append((offset, words, tuple(ids)))
-        self.by_word = dict(self.by_word)
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """The windows' places as (start, end), in order of start, and the items they belong to."""
-        by_word, places, items = self.by_word, set(), set()
-        for at in [i for i, w in enumerate(words) if w in by_word]:
-            for offset, window, ids in by_word[words[at]]:
-                start = at - offset
-                end = start + len(window)
-                if start >= 0 and end <= len(words) and words[start:end] == window:
-                    places.add((start, end))
-                    items.update(ids)
-        return sorted(places), items
-
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in ("window", "n", "size", "at", "h")}
+            for window in b.column("window").to_pylist():
+                words = window.encode().split()
+                size = min(GRAM, len(words))
+                for at, h in enumerate(shingle_hashes(word_hashes(words), size).view("int64").tolist()):
+                    for c, v in (("window", window), ("n", len(words)), ("size", size), ("at", at), ("h", h)):
+                        out[c].append(v)
+            yield out
 
-def covered(places: list[tuple[int, int]]) -> int:
-    """Size of the union of sorted (start, end) ranges."""
-    total, until = 0, 0
-    for start, end in places:
-        total += max(0, end - max(start, until))
-        until = max(until, end)
-    return total
+    return mapped(windows, run, "window string, n int, size int, at int, h long")
 
 
-def _digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def shingle_counts(docs: DataFrame, text: str, sieve, sizes: list[int]) -> DataFrame:
+    """(h, docs): how often the shingles in the sieve occur in all documents."""
 
+    def run(batches):
+        import numpy as np
 
-RESULT = "doc_id {key}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+        for b in pieces(batches, "t"):
+            found = [h[sieve.value.holds(h)] for t in raw(b.column("t")) for w in [word_hashes(split_words(t))] for h in (shingle_hashes(w, s) for s in sizes)]
+            h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield {"h": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64())}
 
+    return mapped(docs.select(F.col(text).alias("t")), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Per document: n_words, n_hit (words inside a window's occurrence), n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
-    pairs = written(item_windows(items, item_key, item_text, window), "windows")
-    blocks = max(1, -(-pairs.count() // block))
-    schema = RESULT.format(key=docs.schema[key].dataType.simpleString())
-    part = F.pmod(F.xxhash64("window", "item"), F.lit(blocks))
 
-    def index(n: int):
-        got = [(bytes(r["window"]), r["item"]) for r in pairs.filter(part == n).collect()]
-        return spark.sparkContext.broadcast(WindowIndex(got, word_counts(docs, text, {w for x, _ in got for w in x.split()}) if got else {}))
+def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(h, offset, n, window): each window under its rarest shingle."""
+    rarest = windows.join(counts.withColumnRenamed("n", "docs"), "h", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "h", F.col("at").alias("offset"), "n")).alias("x"))
+    return rarest.select("x.h", "x.offset", "x.n", "window")
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    if blocks == 1:
-        shared = index(0)
 
-        def whole(batches):
-            for b in pieces(batches, "t"):
-                found = [(len(w), *shared.value.find(w)) for w in map(split_words, raw(b.column("t")))]
-                hits = [covered(p) for _, p, _ in found]
-                yield {"doc_id": b.column("k"), "n_words": [n for n, _, _ in found], "n_hit": hits, "n_items": [len(i) for _, _, i in found], "items_sha256": [_digest(i) for _, _, i in found], "contaminated": [h > 0 for h in hits]}
+def _identity(text) -> tuple:
+    return F.xxhash64(text), F.xxhash64(F.lit(WINDOW), text)
 
-        return mapped(rows, whole, schema)
 
-    rows = rows.withColumn("h", F.md5(F.coalesce(F.col("t"), F.lit(""))))
-    found = None
-    for n in range(blocks):
-        found_n = mapped(rows, _block_hits(index(n)), "h string, places array<array<int>>, items array<string>")
-        found = found_n if found is None else found.union(found_n)
-    merged = found.groupBy("h").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    return mapped(rows.join(merged, "h", "left").select("k", "t", "places", "items"), _merge, schema)
+def _probed(docs: DataFrame, key: str, text: str, sieve, sizes: list[int], window: int) -> DataFrame:
+    """Per row: doc_id, two hashes of the text, n_words, and the shingles that may head a window,
+    each with the words around it that a window could hold."""
+    k1, k2 = _identity(F.col(text))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), k1.alias("k1"), k2.alias("k2"))
+    found = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("near", pa.string())]))
 
+    def probe(words: list[bytes]) -> list[dict]:
+        hashes, out = word_hashes(words), []
+        for size in sizes:
+            h = shingle_hashes(hashes, size)
+            for at in sieve.value.holds(h).nonzero()[0].tolist():
+                lo = max(0, at + size - window)
+                out.append({"h": int(h[at].view("int64")), "at": at, "lo": lo, "near": b" ".join(words[lo : at + window]).decode()})
+        return out
 
-def _block_hits(shared):
     def run(batches):
         for b in pieces(batches, "t"):
-            found = [(h, *shared.value.find(split_words(t))) for h, t in zip(b.column("h").to_pylist(), raw(b.column("t")))]
-            found = [x for x in found if x[1]]
-            yield {"h": [h for h, _, _ in found], "places": pa.array([[list(x) for x in p] for _, p, _ in found], pa.list_(pa.list_(pa.int32()))), "items": [sorted(i) for _, _, i in found]}
+            words = [split_words(t) for t in raw(b.column("t"))]
+            yield {"doc_id": b.column("k"), "k1": b.column("k1"), "k2": b.column("k2"), "n_words": list(map(len, words)), "found": pa.array(list(map(probe, words)), found)}
+
+    return mapped(rows, run, f"doc_id {docs.schema[key].dataType.simpleString()}, k1 long, k2 long, n_words long, found array<struct<h: long, at: int, lo: int, near: string>>")
 
-    return run
 
+def matches(docs: DataFrame, pairs: DataFrame, key: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, k1, k2, n_words), and where windows occur in their texts (k1, k2, start, end, window)."""
+    context = docs.sparkSession.sparkContext
+    windows = written(window_shingles(pairs.select("window").distinct()), "window-shingles")
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most GRAM
+    counts = written(shingle_counts(docs, text, context.broadcast(Sieve.of(windows, "h")), sizes), "rarity")
+    filed = written(prefixes(windows, counts), "prefixes")
+    probed = written(_probed(docs, key, text, context.broadcast(Sieve.of(filed, "h")), sizes, window), "probed")
+    sent = probed.select("k1", "k2", F.explode("found").alias("e")).select("k1", "k2", "e.*").distinct()
+    start = F.col("at") - F.col("offset")
+    words = F.slice(F.split("near", " "), start - F.col("lo") + 1, F.col("n"))
+    both = sent.join(filed, "h").filter((start >= F.col("lo")) & (start + F.col("n") <= F.col("lo") + F.size(F.split("near", " "))))
+    hits = both.filter(F.array_join(words, " ") == F.col("window")).select("k1", "k2", start.alias("start"), (start + F.col("n")).alias("end"), "window")
+    return probed.drop("found"), written(hits.distinct(), "hits")
 
-def _merge(batches):
-    for b in pieces(batches, "t"):
-        words = [len(split_words(t)) for t in raw(b.column("t"))]
-        hits = [covered(sorted(map(tuple, p or []))) for p in b.column("places").to_pylist()]
-        items = [set(i or []) for i in b.column("items").to_pylist()]
-        yield {"doc_id": b.column("k"), "n_words": words, "n_hit": hits, "n_items": [len(i) for i in items], "items_sha256": [_digest(i) for i in items], "contaminated": [h > 0 for h in hits]}
 
+def _covered(places):
+    """Size of the union of the sorted (start, end) ranges."""
+    first = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("until"))
+    step = lambda a, p: F.struct((a["n"] + F.greatest(F.lit(0), p["end"] - F.greatest(p["start"], a["until"]))).cast("long").alias("n"), F.greatest(a["until"], p["end"]).alias("until"))
+    return F.aggregate(places, first, step, lambda a: a["n"])
 
-def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a hit, with their columns as they are."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].alias("text"))
-    return decontaminate(rows, items, key="row", text="text", **options).filter("NOT contaminated").select("doc_id.*")
+
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Per document: n_words, n_hit (words inside a window's occurrence), n_items, items_sha256, contaminated."""
+    pairs = written(item_windows(items, item_key, item_text, window), "windows")
+    rows, hits = matches(docs, pairs, key, text, window)
+    hit = hits.select("k1", "k2", "start", "end").distinct().groupBy("k1", "k2").agg(_covered(F.sort_array(F.collect_list(F.struct("start", "end")))).alias("n_hit"))  # at most the places of one text
+    named = hits.select("k1", "k2", "window").distinct().join(pairs.filter("item IS NOT NULL"), "window").select("k1", "k2", "item").distinct()
+    listed = named.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("item")).alias("items"))  # the items that one text holds
+    marks = written(hit.join(listed, ["k1", "k2"], "left").select("k1", "k2", "n_hit", F.size(F.coalesce("items", F.array().cast("array<string>"))).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256")), "marks")
+    none = F.lit(0).cast("long")
+    out = rows.join(marks, ["k1", "k2"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", none) > 0).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without a hit, with their columns as they are. Texts are known by two hashes,
+    so that rows do not leave the JVM to be filtered."""
+    pairs = written(item_windows(items, item_key, item_text, window), "windows")
+    _, hits = matches(docs, pairs, key, text, window)
+    dirty = written(hits.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "dirty")
+    k1, k2 = _identity(docs[text])
+    return docs.join(dirty, (k1 == dirty["__k1"]) & (k2 == dirty["__k2"]), "left_anti")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, pieces, raw, table, written
+from .common import mapped, pieces, raw, shingle_hashes, table, word_hashes, written
 
 SHINGLE = 5
 #: Least similarity, in hundredths.
@@ -54,17 +54,6 @@ COLUMNS = 1 << 14
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
-_HASHES = _WordHashes()
-
-
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     words = text.translate(_LOWER).split()
@@ -72,14 +61,7 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = len(words) - size + 1
-    mixed = np.zeros(n, np.uint64)
-    for i in range(size):
-        mixed = (mixed ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(mixed ^ mixed >> np.uint64(32))
+    return np.unique(shingle_hashes(word_hashes(words), size))
 
 
 def overlap(size: int, similarity: int = SIMILARITY, sketch: int = SKETCH) -> int:
