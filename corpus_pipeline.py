@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quernel.llm import bpe, decontamination, line_dedup, near_duplicates, quality_rules
-from quernel.llm.common import table, written
+from quernel.llm.common import erase, scope, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; what a stage wrote on its way goes when its result is written,
+    and a stage's result when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scope() as made:
+            docs = written(stage(spark, docs, sf_dir), name)
+        erase(spark, before + made[:-1])
+        before = made[-1:]
     return docs
