@@ -3,7 +3,7 @@
 Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere else, in any
 document, is removed. Suffixes are taken at anchors only: of every ``WINDOW`` successive
 ``GRAM``-byte grams the one of the smallest hash, the first of equal ones. The choice depends on
-the window's own bytes, so two equal strings of ``LENGTH`` bytes hold an anchor at the same place,
+the window's own bytes, so two equal strings hold an anchor at the same place,
 and the part right of it that any such string must have, its core, is the same too.
 
 1. Anchors whose core occurs nowhere else are dropped (counts by core, pre-aggregated).
@@ -14,14 +14,24 @@ and the part right of it that any such string must have, its core, is the same t
    tries for the groups that still agree. Every interval of suffixes that agree for r bytes is
    then ordered by what lies left of the anchors; neighbours that agree for l bytes there, with
    l + r at least ``LENGTH``, are repeats of l + r bytes.
-4. Cores of more than ``GROUP`` different contexts are not sorted in one task: each of their strings
-   of ``LENGTH`` bytes is counted by its 128-bit hash instead, which finds the same repeats.
+4. A core of more contexts than one task should sort (``GROUP``) is parted first by longer common
+   strings: strings of which the anchor is the o-th byte are looked for in parts of the range
+   of o, from a to b; contexts that can share one agree in a bytes to the left and ``LENGTH`` - b to
+   the right, so these name the part's groups. Contexts that agree in all that the part can reach
+   are settled and one of them goes on. Parts of what is still too large are parted again; a
+   range of one o leaves nothing to sort.
+
+With ``passage`` the same sorted suffixes also show repeats of that many bytes, fewer than
+``LENGTH``; they are reported and not removed.
 
 Texts are known by a 128-bit hash; equal texts of ``LENGTH`` bytes or more are repeats as a whole.
+Contexts that are equal as a whole are known by 128-bit hashes too.
 
 Defined results: a null or empty text has 0 bytes and nothing removed; texts shorter than
-``LENGTH`` are never touched; repeated rows are repeats of each other; an empty table gives an
-empty table; columns other than id and text are not read.
+``LENGTH`` are never touched; repeated rows are repeats of each other; which of equal strings comes first
+makes no difference, as all of them go; an empty table gives an empty table; a text is read whole,
+in overlapping segments of ``SEGMENT`` bytes, whatever its length; columns other than id and text are not
+read, whatever their names are.
 """
 
 from __future__ import annotations
@@ -35,26 +45,30 @@ from pyspark.sql import functions as F
 from .common import mapped, pieces, raw, table, written
 
 LENGTH = 400
-WINDOW = 256
+#: Bytes of the shorter repeats that the query reports beside them: about 50 words at least.
+PASSAGE = 256
+WINDOW = 192
 GRAM = 32
-#: Most contexts that are sorted together; each takes up to about 1 KB.
-GROUP = 50_000
+#: Most contexts that are sorted together; each takes up to about 600 bytes.
+GROUP = 4096
+#: Parts into which a range of places is cut when a group is larger.
+PARTS = 4
+#: Grams that are hashed at once.
+SEGMENT = 1 << 20
 #: Bytes that quicksort takes as one character, and the depth beyond the core from which blind tries sort.
 CHUNK = 8
 SHALLOW = 64
 
-_PLACE = (1 << 28) - 1
+#: Low bits of a gram's hash that hold its place in the segment.
+_PLACE = (1 << 22) - 1
 _BYTES = np.random.default_rng(400).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
-def anchors(text: bytes, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM) -> list[int]:
-    """Places of the grams that are smallest in some window of ``window`` (a power of two) grams."""
-    b = np.frombuffer(text, np.uint8)
+def _hashes(b: np.ndarray, gram: int) -> np.ndarray:
+    """For each gram of a segment its hash, with its place in the low bits."""
     n = len(b)
-    if n < length:
-        return []
     powers = np.full(n, _P)
     powers[0] = 1
     np.multiply.accumulate(powers, out=powers)
@@ -66,20 +80,34 @@ def anchors(text: bytes, length: int = LENGTH, window: int = WINDOW, gram: int =
     h = (sums[gram:] - sums[:-gram]) * inverse
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h = (h & ~np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
-    step = 1
-    while step < window:
-        h = np.minimum(h[:-step], h[step:])
-        step *= 2
-    changes = np.flatnonzero(np.diff(h)) + 1
-    return np.unique(h[np.append(0, changes)] & np.uint64(_PLACE)).tolist()
+    return (h & ~np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
+
+
+def anchors(text: bytes, window: int = WINDOW, gram: int = GRAM, segment: int = SEGMENT) -> list[int]:
+    """Places of the grams that are smallest in some window of ``window`` grams."""
+    found: list[np.ndarray] = []
+    whole = np.frombuffer(text, np.uint8)
+    for start in range(0, len(whole) - window - gram + 2, segment):
+        h = _hashes(whole[start : start + segment + window + gram - 2], gram)
+        step = 1
+        while step * 2 <= window:
+            h = np.minimum(h[:-step], h[step:])
+            step *= 2
+        if step < window:
+            h = np.minimum(h[: len(h) - (window - step)], h[window - step :])
+        changes = np.flatnonzero(np.diff(h)) + 1
+        found.append((h[np.append(0, changes)] & np.uint64(_PLACE)).astype(np.int64) + start)
+    return np.unique(np.concatenate(found)).tolist() if found else []
 
 
 class Reach:
-    """How far strings of ``length`` bytes that hold an anchor can reach."""
+    """How far strings of ``length`` bytes that hold an anchor can reach; ``least`` bytes or more are looked for."""
 
-    def __init__(self, length: int = LENGTH, window: int = WINDOW):
-        self.length, self.left, self.core = length, window - 1, length - window + 1
+    def __init__(self, length: int = LENGTH, passage: int | None = None, window: int = WINDOW):
+        self.length, self.least, self.window = length, min(length, passage or length), window
+        self.left, self.core = window - 1, self.least - window + 1
+        if self.core < GRAM:
+            raise ValueError(f"strings of {self.least} bytes need windows of {self.least - GRAM + 1} grams or fewer")
 
     def around(self, at: int, n: int) -> tuple[int, int]:
         return min(self.left, at), min(self.length, n - at)
@@ -179,7 +207,7 @@ def intervals(depths: list[int], least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH, core: int = Reach().core) -> list[list[tuple[int, int]]]:
+def repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH, core: int = 0) -> list[list[tuple[int, int]]]:
     """For each context the (l, r), largest only, such that its l bytes left and r bytes right of
     the anchor, ``length`` or more together, are those of another context. ``lefts`` are reversed."""
     found: list[list[tuple[int, int]]] = [[] for _ in lefts]
@@ -201,7 +229,7 @@ def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), t.alias("t")).select("doc_id", "t", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(LENGTH), "t").alias("k2"))
 
 
-def _anchored(named: DataFrame, reach: Reach, window: int) -> DataFrame:
+def _anchored(named: DataFrame, reach: Reach) -> DataFrame:
     """(core, u1, u2, k1, k2, at): for each text the places of every different context of its anchors."""
 
     def run(batches):
@@ -210,7 +238,7 @@ def _anchored(named: DataFrame, reach: Reach, window: int) -> DataFrame:
             for row, text in enumerate(raw(b.column("t"))):
                 mine: dict[tuple[int, int], list[int]] = {}
                 n = len(text)
-                for at in anchors(text, reach.length, window):
+                for at in anchors(text, reach.window):
                     left, right = reach.around(at, n)
                     if right >= reach.core:
                         mine.setdefault((xxhash.xxh3_64_intdigest(text[at : at + reach.core]), xxhash.xxh3_128_intdigest(text[at - left : at + right], left)), []).append(at)
@@ -224,17 +252,15 @@ def _anchored(named: DataFrame, reach: Reach, window: int) -> DataFrame:
             take = pa.array(owner, pa.int64())
             yield {"core": longs[0], "u1": longs[1], "u2": longs[2], "k1": b.column("k1").take(take), "k2": b.column("k2").take(take), "at": pa.array(ats, pa.list_(pa.int32()))}
 
-    long_enough = named.filter(F.octet_length("t") >= reach.length)
+    long_enough = named.filter(F.octet_length("t") >= reach.least)
     return mapped(long_enough.select("t", "k1", "k2"), run, "core long, u1 long, u2 long, k1 long, k2 long, at array<int>")
 
 
-_TWICE = "low != high OR most > 1"
-
-
-def _twice(df: DataFrame, *keys: str) -> DataFrame:
-    """Counts by ``keys`` that tell whether anything occurs at two places."""
-    place = F.struct("k1", "k2", F.get("at", F.lit(0)).alias("at"))
-    return df.groupBy(*keys).agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max(F.size("at")).alias("most"))
+def _twice(df: DataFrame, *keys: str, also: tuple = ()) -> DataFrame:
+    """The keys, and whether they occur at two places (``twice``)."""
+    place = F.xxhash64("k1", "k2", F.get("at", F.lit(0)))
+    counted = df.groupBy(*keys).agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max(F.size("at")).alias("most"), *also)
+    return counted.withColumn("twice", F.expr("low != high OR most > 1")).drop("low", "high", "most")
 
 
 def _contexts(named: DataFrame, asked: DataFrame, reach: Reach) -> DataFrame:
@@ -259,68 +285,91 @@ def _contexts(named: DataFrame, asked: DataFrame, reach: Reach) -> DataFrame:
     return mapped(rows, run, "core long, k1 long, k2 long, at int, single boolean, l binary, r binary")
 
 
-def _sorted_groups(contexts: DataFrame, reach: Reach) -> DataFrame:
-    """Repeats (k1, k2, start, end) around single anchors, by sorting the contexts of each core."""
+_RANGES = "k1 long, k2 long, start int, end int"
+
+
+def _sorted_groups(contexts: DataFrame, least: int) -> DataFrame:
+    """Repeats (k1, k2, start, end) of ``least`` bytes or more around single anchors, by sorting the
+    contexts of each group: rows (g1, g2, shared, k1, k2, at, single, l, r), of which all of a
+    group agree for ``shared`` bytes right of the anchor."""
 
     def solve(group: list[tuple]) -> list[tuple]:
-        group = list({(g[0], g[1], g[2]): g for g in group}.values())
+        group = list({g[1:4]: g for g in group}.values())
         if len(group) < 2:
             return []
-        found = repeats([g[4] for g in group], [g[5] for g in group], reach.length, reach.core)
-        return [(g[0], g[1], g[2] - l, g[2] + r) for g, pairs in zip(group, found) if g[3] for l, r in pairs]
+        found = repeats([g[5] for g in group], [g[6] for g in group], least, group[0][0])
+        return [(g[1], g[2], g[3] - l, g[3] + r) for g, pairs in zip(group, found) if g[4] for l, r in pairs]
 
     def run(batches):
-        core, group = None, []
+        at, group = None, []
         for b in batches:
             out = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("core", "k1", "k2", "at", "single", "l", "r"))):
-                if row[0] != core:
+            for row in zip(*(b.column(c).to_pylist() for c in ("g1", "g2", "shared", "k1", "k2", "at", "single", "l", "r"))):
+                if row[:2] != at:
                     out += solve(group)
-                    core, group = row[0], []
-                group.append(row[1:])
+                    at, group = row[:2], []
+                group.append(row[2:])
             yield dict(zip(("k1", "k2", "start", "end"), zip(*out))) if out else {c: [] for c in ("k1", "k2", "start", "end")}
         out = solve(group)
         yield dict(zip(("k1", "k2", "start", "end"), zip(*out))) if out else {c: [] for c in ("k1", "k2", "start", "end")}
 
-    return mapped(contexts.repartition("core").sortWithinPartitions("core"), run, "k1 long, k2 long, start int, end int")
-
-
-def _counted_groups(contexts: DataFrame, reach: Reach) -> DataFrame:
-    """The same for cores of many contexts, by counting the hashes of their strings."""
-
-    def run(batches):
-        for b in batches:
-            out: dict[str, list] = {c: [] for c in ("h1", "h2", "k1", "k2", "start", "single")}
-            for k1, k2, at, single, left, right in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "at", "single", "l", "r"))):
-                text = left[::-1] + right
-                for start in range(len(text) - reach.length + 1):
-                    h = xxhash.xxh3_128_intdigest(text[start : start + reach.length])
-                    for c, v in (("h1", (h >> 64) - (1 << 63)), ("h2", (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)), ("k1", k1), ("k2", k2), ("start", at - len(left) + start), ("single", single)):
-                        out[c].append(v)
-            yield out
-
-    strings = mapped(contexts, run, "h1 long, h2 long, k1 long, k2 long, start int, single boolean")
-    place = F.struct("k1", "k2", "start")
-    again = strings.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("h1", "h2")
-    return strings.filter("single").join(again, ["h1", "h2"]).select("k1", "k2", "start", (F.col("start") + reach.length).alias("end")).distinct()
-
-
-def repeated(named: DataFrame, length: int = LENGTH, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """(k1, k2, places, ranges): anchors of texts whose whole context is repeated, and repeated (start, end)."""
-    reach = Reach(length, window)
-    found = _anchored(named, reach, window)
+    return mapped(contexts.repartition("g1", "g2").sortWithinPartitions("g1", "g2"), run, _RANGES)
+
+
+def _parted(contexts: DataFrame, reach: Reach, least: int, group: int) -> list[DataFrame]:
+    """The same for groups that are too large: they are parted by longer common strings."""
+    found = []
+    rows = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(reach.left)})
+    while True:
+        step = F.ceil((F.col("hi") - F.col("lo") + 1) / PARTS).cast("int")
+        rows = rows.withColumn("step", step).withColumn("a", F.explode(F.sequence("lo", "hi", "step"))).withColumn("b", F.least(F.col("a") + F.col("step") - 1, F.col("hi")))
+        rows = rows.withColumn("shared", least - F.col("b")).filter("length(l) >= a AND length(r) >= shared")
+        own = [F.col("a"), F.expr("substring(l, 1, a)"), F.expr("substring(r, 1, shared)")]
+        all_of_it = [F.expr("substring(l, 1, b)"), F.expr(f"substring(r, 1, {least} - a)")]
+        rows = rows.select(
+            F.xxhash64("g1", *own).alias("g1"), F.xxhash64("g2", F.lit(1), *own).alias("g2"), "shared", F.col("a").alias("lo"), F.col("b").alias("hi"),
+            F.xxhash64(*all_of_it).alias("x1"), F.xxhash64(F.lit(1), *all_of_it).alias("x2"), "k1", "k2", "at", "single", "l", "r",
+        )
+        rows = written(rows, "parts")
+        alike = rows.groupBy("g1", "g2", "x1", "x2").agg(F.min(F.struct("k1", "k2", "at")).alias("first"), F.count("*").alias("n"), F.max("single").alias("single"))
+        alike = written(alike.select("g1", "g2", "x1", "x2", "first", "n", (F.col("single") & (F.col("n") == 1)).alias("open")), "alike")
+        settled = rows.filter("single").join(alike.filter("n > 1").select("g1", "g2", "x1", "x2"), ["g1", "g2", "x1", "x2"])
+        settled = settled.select("k1", "k2", F.expr("at - least(hi, length(l))").alias("start"), F.expr(f"at + least({least} - lo, length(r))").alias("end"))
+        found.append(settled.filter(F.col("end") - F.col("start") >= least))
+        sizes = written(alike.groupBy("g1", "g2").agg(F.count("*").alias("m"), F.max("open").alias("open")).filter("m > 1 AND open").select("g1", "g2", "m"), "sizes")
+        firsts = written(alike.join(sizes, ["g1", "g2"]).select("g1", "g2", "x1", "x2", "first.k1", "first.k2", "first.at", "open", "m"), "firsts")
+        rows = rows.drop("single").join(firsts, ["g1", "g2", "x1", "x2", "k1", "k2", "at"]).withColumnRenamed("open", "single")
+        found.append(_sorted_groups(rows.filter(F.col("m") <= group), least))
+        if firsts.filter(F.col("m") > group).isEmpty():
+            return found
+        rows = rows.filter(F.col("m") > group)
+
+
+def repeated(named: DataFrame, reach: Reach, group: int = GROUP) -> DataFrame:
+    """(k1, k2, found): for each text the anchors whose whole context is repeated (at, -1), and
+    repeated ranges (start, end)."""
+    anchored = _anchored(named, reach)
     # Counts are tables of their own before they are joined, so that Spark can split the join's hot keys.
-    cores = written(_twice(found, "core").filter(_TWICE).select("core"), "cores")
-    live = written(found.join(cores, "core"), "anchors")
-    contexts = written(_twice(live, "core", "u1", "u2").select("core", "u1", "u2", F.expr(_TWICE).alias("settled"), "low"), "contexts")
+    cores = written(_twice(anchored, "core").filter("twice").select("core"), "cores")
+    live = written(anchored.join(cores, "core"), "anchors")
+    place = F.struct("k1", "k2", F.get("at", F.lit(0)).alias("at"))
+    contexts = written(_twice(live, "core", "u1", "u2", also=(F.min(place).alias("place"),)).withColumnRenamed("twice", "settled"), "contexts")
     open_cores = written(contexts.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("settled")).alias("singles")).filter("n > 1 AND singles > 0").select("core", "n"), "open-cores")
-    asked = written(contexts.join(open_cores, "core").select("core", "n", "low.k1", "low.k2", "low.at", (~F.col("settled")).alias("single")), "asked")
-    ranges = _sorted_groups(_contexts(named, asked.filter(F.col("n") <= group), reach), reach)
+    asked = written(contexts.join(open_cores, "core").select("core", "n", "place.k1", "place.k2", "place.at", (~F.col("settled")).alias("single")), "asked")
+
+    def bytes_of(some: DataFrame) -> DataFrame:
+        return _contexts(named, some, reach).select(F.col("core").alias("g1"), F.col("core").alias("g2"), F.lit(reach.core).alias("shared"), "k1", "k2", "at", "single", "l", "r")
+
+    parts = [_sorted_groups(bytes_of(asked.filter(F.col("n") <= group)), reach.least)]
     many = asked.filter(F.col("n") > group)
     if not many.isEmpty():
-        ranges = ranges.union(_counted_groups(_contexts(named, many, reach), reach))
+        hot = written(bytes_of(many), "hot")
+        for least in sorted({reach.least, reach.length}):
+            parts += _parted(hot, reach, least, group)
     places = live.join(contexts.filter("settled").select("core", "u1", "u2"), ["core", "u1", "u2"]).select("k1", "k2", F.explode("at").alias("at"))
-    both = places.select("k1", "k2", "at", F.lit(-1).alias("until")).union(ranges.toDF("k1", "k2", "at", "until"))
+    both = places.select("k1", "k2", "at", F.lit(-1).alias("until"))
+    for ranges in parts:
+        both = both.union(ranges.toDF("k1", "k2", "at", "until"))
     return both.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "until")).alias("found"))  # at most a few for each anchor of one text
 
 
@@ -335,39 +384,44 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _runs(text: bytes, copies: bool, found: list[dict] | None, reach: Reach) -> list[tuple[int, int]]:
-    if copies and len(text) >= reach.length:
-        return [(0, len(text))]
+def _runs(n: int, copies: bool, found: list[dict] | None, reach: Reach, length: int) -> list[tuple[int, int]]:
+    """The runs of a text of n bytes that repeated strings of ``length`` bytes cover."""
+    if copies and n >= length:
+        return [(0, n)]
     ranges = []
     for x in found or []:
-        if x["until"] >= 0:
-            ranges.append((x["at"], x["until"]))
-        else:
-            left, right = reach.around(x["at"], len(text))
-            if left + right >= reach.length:
-                ranges.append((x["at"] - left, x["at"] + right))
+        start, end = x["at"], x["until"]
+        if end < 0:
+            left, right = reach.around(start, n)
+            start, end = start - left, start + right
+        if end - start >= length:
+            ranges.append((start, end))
     return merged(ranges)
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """Per document: doc_id, n_bytes, spans (the removed runs, as pairs of places) and kept (the remaining bytes)."""
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, passage: int | None = None, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    """Per document: doc_id, n_bytes, spans (the removed runs, as pairs of places), kept (the remaining
+    bytes) and passages (the runs that repeated strings of ``passage`` bytes cover, by default ``length``)."""
     named = _named(docs, key, text)
-    reach = Reach(length, window)
+    reach = Reach(length, passage, window)
     copies = named.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2", F.lit(True).alias("copies"))
-    marks = written(repeated(named, length, window, group).join(copies, ["k1", "k2"], "full"), "marks")
+    marks = written(repeated(named, reach, group).join(copies, ["k1", "k2"], "full"), "marks")
 
     def run(batches):
+        pairs = lambda runs: pa.array([[list(x) for x in r] for r in runs], pa.list_(pa.list_(pa.int32())))
         for b in pieces(batches, "t"):
             texts = raw(b.column("t"))
-            runs = [_runs(*x, reach) for x in zip(texts, b.column("copies").to_pylist(), b.column("found").to_pylist())]
+            known = list(zip(map(len, texts), b.column("copies").to_pylist(), b.column("found").to_pylist()))
+            runs = [_runs(*x, reach, length) for x in known]
             kept = [b"".join(t[a:b] for a, b in zip([0, *(e for _, e in r)], [*(s for s, _ in r), len(t)])) for t, r in zip(texts, runs)]
-            yield {"doc_id": b.column("doc_id"), "n_bytes": list(map(len, texts)), "spans": pa.array([[list(x) for x in r] for r in runs], pa.list_(pa.list_(pa.int32()))), "kept": kept}
+            yield {"doc_id": b.column("doc_id"), "n_bytes": [n for n, _, _ in known], "spans": pairs(runs), "kept": kept, "passages": pairs([_runs(*x, reach, reach.least) for x in known])}
 
     rows = named.join(marks, ["k1", "k2"], "left").select("doc_id", "t", "copies", "found")
-    return mapped(rows, run, f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes long, spans array<array<int>>, kept binary")
+    return mapped(rows, run, f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes long, spans array<array<int>>, kept binary, passages array<array<int>>")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    found = spans(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, and n_passage_bytes: bytes in repeated strings of ``PASSAGE`` bytes or more."""
+    found = spans(table(spark, sf_dir, "documents"), passage=PASSAGE)
+    covered = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda n, s: n + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))
+    return found.select("doc_id", "n_bytes", covered("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), covered("passages").alias("n_passage_bytes"))
