@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, pieces, raw, table, written
+from .common import Sieve, mapped, pieces, raw, table, written
 
 LENGTH = 400
 #: Bytes of the shorter repeats that the query reports beside them: about 50 words at least.
@@ -263,6 +263,20 @@ def _twice(df: DataFrame, *keys: str, also: tuple = ()) -> DataFrame:
     return counted.withColumn("twice", F.expr("low != high OR most > 1")).drop("low", "high", "most")
 
 
+def _among(named: DataFrame, wanted: DataFrame, others: bool = False) -> DataFrame:
+    """The rows of ``named`` of which the text may be one of ``wanted`` (k1, k2), so that the others need
+    not be shuffled, or with ``others`` the rows of which it isn't."""
+    sieve = named.sparkSession.sparkContext.broadcast(Sieve.of(wanted, "k1"))
+
+    def run(batches):
+        for b in batches:
+            found = sieve.value.holds(b.column("k1").to_numpy(zero_copy_only=False).view(np.uint64))
+            kept = b.filter(pa.array(found != others))
+            yield dict(zip(kept.schema.names, kept.columns))
+
+    return mapped(named, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema))
+
+
 def _contexts(named: DataFrame, asked: DataFrame, reach: Reach) -> DataFrame:
     """The bytes around the asked anchors (core, k1, k2, at, single)."""
     by_text = written(asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "at", "single")).alias("asked")), "by-text")  # at most the anchors of one text
@@ -281,7 +295,7 @@ def _contexts(named: DataFrame, asked: DataFrame, reach: Reach) -> DataFrame:
                         out[c].append(v)
             yield out
 
-    rows = named.select("t", "k1", "k2").join(by_text, ["k1", "k2"])
+    rows = _among(named.select("t", "k1", "k2"), by_text).join(by_text, ["k1", "k2"])
     return mapped(rows, run, "core long, k1 long, k2 long, at int, single boolean, l binary, r binary")
 
 
@@ -328,17 +342,17 @@ def _parted(contexts: DataFrame, reach: Reach, least: int, group: int) -> list[D
         all_of_it = [F.expr("substring(l, 1, b)"), F.expr(f"substring(r, 1, {least} - a)")]
         rows = rows.select(
             F.xxhash64("g1", *own).alias("g1"), F.xxhash64("g2", F.lit(1), *own).alias("g2"), "shared", F.col("a").alias("lo"), F.col("b").alias("hi"),
-            F.xxhash64(*all_of_it).alias("x1"), F.xxhash64(F.lit(1), *all_of_it).alias("x2"), "k1", "k2", "at", "single", "l", "r",
+            F.xxhash64(*all_of_it).alias("x1"), F.xxhash64(F.lit(1), *all_of_it).alias("x2"), "k1", "k2", "at", "single",
+            F.expr("at - least(b, length(l))").alias("start"), F.expr(f"at + least({least} - a, length(r))").alias("end"),
         )
         rows = written(rows, "parts")
-        alike = rows.groupBy("g1", "g2", "x1", "x2").agg(F.min(F.struct("k1", "k2", "at")).alias("first"), F.count("*").alias("n"), F.max("single").alias("single"))
+        alike = rows.groupBy("g1", "g2", "x1", "x2").agg(F.min(F.struct("k1", "k2", "at", "shared", "lo", "hi")).alias("first"), F.count("*").alias("n"), F.max("single").alias("single"))
         alike = written(alike.select("g1", "g2", "x1", "x2", "first", "n", (F.col("single") & (F.col("n") == 1)).alias("open")), "alike")
         settled = rows.filter("single").join(alike.filter("n > 1").select("g1", "g2", "x1", "x2"), ["g1", "g2", "x1", "x2"])
-        settled = settled.select("k1", "k2", F.expr("at - least(hi, length(l))").alias("start"), F.expr(f"at + least({least} - lo, length(r))").alias("end"))
-        found.append(settled.filter(F.col("end") - F.col("start") >= least))
+        found.append(settled.filter(F.col("end") - F.col("start") >= least).select("k1", "k2", "start", "end"))
         sizes = written(alike.groupBy("g1", "g2").agg(F.count("*").alias("m"), F.max("open").alias("open")).filter("m > 1 AND open").select("g1", "g2", "m"), "sizes")
-        firsts = written(alike.join(sizes, ["g1", "g2"]).select("g1", "g2", "x1", "x2", "first.k1", "first.k2", "first.at", "open", "m"), "firsts")
-        rows = rows.drop("single").join(firsts, ["g1", "g2", "x1", "x2", "k1", "k2", "at"]).withColumnRenamed("open", "single")
+        firsts = written(alike.join(sizes.drop("open"), ["g1", "g2"]).select("g1", "g2", "first.*", F.col("open").alias("single"), "m"), "firsts")
+        rows = firsts.join(contexts.select("k1", "k2", "at", "l", "r"), ["k1", "k2", "at"])
         found.append(_sorted_groups(rows.filter(F.col("m") <= group), least))
         if firsts.filter(F.col("m") > group).isEmpty():
             return found
@@ -416,8 +430,9 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             kept = [b"".join(t[a:b] for a, b in zip([0, *(e for _, e in r)], [*(s for s, _ in r), len(t)])) for t, r in zip(texts, runs)]
             yield {"doc_id": b.column("doc_id"), "n_bytes": [n for n, _, _ in known], "spans": pairs(runs), "kept": kept, "passages": pairs([_runs(*x, reach, reach.least) for x in known])}
 
-    rows = named.join(marks, ["k1", "k2"], "left").select("doc_id", "t", "copies", "found")
-    return mapped(rows, run, f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes long, spans array<array<int>>, kept binary, passages array<array<int>>")
+    marked = _among(named, marks).join(marks, ["k1", "k2"], "left").select("doc_id", "t", "copies", "found")
+    rest = _among(named, marks, others=True).select("doc_id", "t", F.lit(None).cast("boolean").alias("copies"), F.lit(None).cast(marks.schema["found"].dataType).alias("found"))
+    return mapped(marked.union(rest), run, f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes long, spans array<array<int>>, kept binary, passages array<array<int>>")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
