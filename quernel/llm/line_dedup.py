@@ -14,7 +14,8 @@ different lines, weighted by their documents. No step gathers the lines of a lea
 
 Defined results: lines of fewer than ``LEAST_TOKENS`` tokens and blank lines always stay; a null
 text stays null, with 0 lines; rows of the same id and text are one document; a null id counts as
-the smallest; an empty table gives an empty table; extra columns pass unchanged through
+the smallest; of documents of one id the text of the smaller hash is first; texts and lines of any
+length are read whole; an empty table gives an empty table; extra columns pass unchanged through
 ``dedup_lines``, whatever their names are.
 """
 
@@ -70,7 +71,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     each = lines.groupBy("leaf", "l1", "l2", "k", "k1", "k2").agg(F.first("tokens").alias("tokens"))
     distinct = written(each.groupBy("leaf", "l1", "l2").agg(F.first("tokens").alias("tokens"), F.count("*").alias("docs")), "distinct")
     placed = distinct.select("leaf", "l1", "l2", "docs", F.posexplode("tokens").alias("p", "token"))
-    constant = placed.groupBy("leaf", "p", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf", "p", "token", F.lit(True).alias("constant"))
+    constant = written(placed.groupBy("leaf", "p", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf", "p", "token", F.lit(True).alias("constant")), "constants")
     # The leading tokens are the leaf's own and constant; an overly common (place, token) is one row here.
     judged = placed.join(constant, ["leaf", "p", "token"], "left").withColumn("constant", (F.col("constant") | (F.col("p") < LEADING)) & (F.col("token") != FIELD))
     judged = judged.withColumn("constant", F.coalesce("constant", F.lit(False)))
@@ -94,7 +95,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     own = docs[text]
     same = docs[key].eqNullSafe(gone["__k"]) & (F.xxhash64(own) == gone["__k1"]) & (F.xxhash64(F.lit(LEADING), own) == gone["__k2"])
     both = docs.join(gone, same, "left")
-    left = F.array_join(F.filter(F.transform(F.split(own, "\n"), lambda x, i: F.when(~F.array_contains(gone["__gone"], i), x)), lambda x: x.isNotNull()), "\n")
+    # The places that stay are found by hashing, so that the work is linear in the lines of a document.
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["__gone"])
+    left = F.transform(F.array(F.split(own, "\n")), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))[0]
     rest = F.when(gone["__gone"].isNotNull(), left).otherwise(own)
     if not emptied:
         both = both.filter(gone["__gone"].isNull() | (F.btrim(rest, F.lit(SPACES)) != ""))

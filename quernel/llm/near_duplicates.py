@@ -10,8 +10,11 @@ sketch is the k smallest. Documents of equal sets form a class, and only classes
   filed.
 * In a list, every class is compared with one *hub*, the class whose values are retained most
   often. Where the classes around a hub then are in one component, nothing is left to do; pairs
-  within a component change nothing and are not looked for. Around other hubs the classes outside
-  the largest component are held against all the others in blocks of ``BLOCK`` sets: a task gets
+  within a component change nothing and are not looked for. The classes around the other hubs are
+  filed again under their full sets, rarest values first: sets of similarity t have one of their
+  first n - tn + 1 values in common, so that classes none of whose first values another class
+  has are done. What is left around a hub outside
+  its largest component is held against all the others in blocks of ``BLOCK`` sets: a task gets
   two blocks and finds all their intersections at once by a product of incidence matrices, and
   gives links between components only. So no link between components is lost.
 * Estimation on the union's sketch drops pairs that cannot reach t; exact Jaccard on the full
@@ -23,7 +26,8 @@ documents or links reaches the driver.
 Defined results: null or blank texts have empty sets, are linked with nothing and kept; a text of
 fewer words than a shingle has its whole sequence as one shingle; rows that share an id are one
 document, and are linked as any of them is; a row whose id is null is linked with nothing, its
-component is null and it is kept; an empty table gives an empty table; columns other than id and
+component is null and it is kept; texts of any length are read whole, and memory is that of the longest;
+of ties the smallest id or hash decides; an empty table gives an empty table; columns other than id and
 text are not read by ``components`` and pass unchanged through ``keep``, whatever their names.
 """
 
@@ -50,6 +54,8 @@ PER_TASK = 400
 #: Sets in a block, and values that are multiplied at once.
 BLOCK = 512
 COLUMNS = 1 << 14
+#: Counters of values, of which the least frequent come first when classes are filed again.
+CELLS = 1 << 20
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -97,7 +103,8 @@ def _lists(classes: DataFrame, similarity: int) -> DataFrame:
     """Postings (v, g, w): the values under which each class is filed and that another class
     retains; w adds up how many classes retain each of its values."""
     retained = classes.select("g", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
-    shared = retained.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    # Counts are tables of their own before they are joined, so that Spark can split the joins' hot keys.
+    shared = written(retained.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     mine = retained.join(shared, "v").groupBy("g", "size").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("w"))  # at most SKETCH each
     length = "CASE size " + " ".join(f"WHEN {k} THEN {k - overlap(k, similarity) + 1}" for k in range(1, SKETCH + 1)) + " END"
     # Values that no other class retains come first in the order and only take up places of the prefix.
@@ -166,17 +173,61 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return mapped(together, run, "a binary, b binary")
 
 
-def _around(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b, o, asks, n, askers): the classes b, of component o, around hubs a with different
-    components; asks: outside the largest one."""
-    own = classes.select(F.col("g").alias("b"), "c").join(found.withColumnRenamed("node", "c"), "c", "left").select("b", F.coalesce("component", "c").alias("o"))
-    named = members.select("a", "b").join(own, "b")
+def _mixed(named: DataFrame) -> DataFrame:
+    """(a, b, o, asks, n, askers) from the classes b, of component o, around hubs a, for the hubs with
+    different components; asks: outside the largest one."""
     sizes = named.groupBy("a", "o").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("a").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max(F.struct("m", "o")).alias("top")).filter("parts > 1")
     mixed = written(mixed.select("a", "n", F.col("top.o").alias("largest"), (F.col("n") - F.col("top.m")).alias("askers")), "mixed")
     return named.join(mixed, "a").select("a", "b", "o", (F.col("o") != F.col("largest")).alias("asks"), "n", "askers")
 
 
+def _around(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes around hubs with different components, as ``_mixed`` has them."""
+    own = classes.select(F.col("g").alias("b"), "c").join(found.withColumnRenamed("node", "c"), "c", "left").select("b", F.coalesce("component", "c").alias("o"))
+    return _mixed(members.select("a", "b").join(own, "b"))
+
+
+def _prefixes(sets: DataFrame, similarity: int) -> DataFrame:
+    """(v, g): the values among which each set must have one in common with any set it is to be linked
+    with, in the order of their frequency in these sets. Frequencies are counted in ``CELLS``
+    counters, which only decides the order; values that no other set can have are left out."""
+
+    def count(batches):
+        for b in batches:
+            values = [np.frombuffer(x, np.uint64) for x in b.column("x").to_pylist()]
+            cells, n = np.unique(np.concatenate([*values, np.zeros(0, np.uint64)]) % np.uint64(CELLS), return_counts=True)
+            yield {"cell": pa.array(cells.astype(np.int64)), "n": pa.array(n, pa.int64())}
+
+    got = mapped(sets.select("x"), count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    counts = np.zeros(CELLS, np.int64)
+    counts[got["cell"].to_numpy()] = got["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def file(batches):
+        for b in batches:
+            out: list[list] = [[], []]
+            for g, x in zip(b.column("g").to_pylist(), b.column("x").to_pylist()):
+                own = np.frombuffer(x, np.uint64)
+                often = shared.value[(own % np.uint64(CELLS)).astype(np.int64)]
+                first = np.lexsort((own, often))[: len(own) - -(-len(own) * similarity // 100) + 1]
+                first = own[first[often[first] > 1]].view(np.int64).tolist()
+                out[0] += first
+                out[1] += [g] * len(first)
+            yield {"v": out[0], "g": out[1]}
+
+    return mapped(sets.select("g", "x"), file, "v long, g binary")
+
+
+def _meeting(around: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``around`` without the classes that no other class there can be linked with."""
+    there = around.select(F.col("b").alias("g")).distinct()
+    filed = written(_prefixes(sets.join(there, "g"), similarity), "filed")
+    twice = written(filed.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v"), "twice")
+    left = written(filed.join(twice, "v").select(F.col("g").alias("b")).distinct(), "left")
+    return _mixed(around.join(left, "b").select("a", "b", "o"))
+
+
 def block_links(left: list[tuple], right: list[tuple], similarity: int) -> list[tuple]:
     """Pairs of ids of similar sets, one of ``left`` and one of ``right``, that join different
     components; both are lists of (id, component, sorted distinct hashes)."""
@@ -248,9 +299,10 @@ def connected(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")), "low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
         edges = written(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -266,7 +318,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
     rows = written(sketches(docs, shingle, key, text), "sketches")
     classes = written(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("g").agg(F.min("doc_id").alias("c"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
     lists = written(_lists(classes, similarity), "lists")
-    hubs = lists.groupBy("v").agg(F.max(F.struct("w", "g")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    hubs = written(lists.groupBy("v").agg(F.max(F.struct("w", "g")).alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
     members = lists.join(hubs, "v").select(F.col("hub.g").alias("a"), F.col("g").alias("b"), "n").filter("a != b")
     members = written(members.groupBy("a", "b").agg(F.max(F.col("n") > 2).alias("wide")), "members")
     pairs = written(_estimated(members.select("a", "b"), classes, similarity), "pairs")
@@ -276,6 +328,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
     links = _named(_confirmed(pairs, sets, similarity), classes).union(_shared_ids(rows, classes))
     found = written(connected(links), "components")
     around = written(_around(members.filter("wide"), classes, found), "around")
+    around = written(_meeting(around, sets, similarity), "around")
     more = written(_named(_in_blocks(around, sets, similarity), classes), "links")
     if not more.isEmpty():
         found = written(connected(found.toDF("u", "v").union(more)), "components")

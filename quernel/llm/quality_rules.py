@@ -1,14 +1,18 @@
 """Document quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Every rule is a Boolean expression over a document's text and words that is true when the
-document is to be rejected. ``Cascade.fit`` measures, on a bounded sample, what each rule
-costs and how many documents it rejects, and orders the rules by rejections per second; the
+document is to be rejected. ``Cascade.fit`` estimates on a sample, the documents of the smallest
+hash of id and text, what each rule costs a row and which documents it rejects. The cost is the
+shortest of several runs over the sample, without that of the same job without a rule; quick rules
+run over the sample many times. Rules are then picked one after the other, each time the one that
+rejects most of what is left per second, those that reject nothing more by cost. The
 verdict is one CASE expression in that order, so a document stops at the first rule that
 rejects it. The order changes the cost only: a document is kept if no rule rejects it.
 
 Defined results: null and empty texts have no words (all counts 0, so the base rules reject
-them); rows with equal ids or equal texts are judged one by one; an empty table gives an
-empty table; columns of the input other than the id and the text are not read by
+them); texts of any length are read whole; rows with equal ids or equal texts are judged one by one;
+rules of equal worth are tried in the order of their costs and then names; an empty table gives an
+empty table and leaves the rules in their order; columns of the input other than the id and the text are not read by
 ``features`` and pass unchanged through ``keep``, whatever their names are.
 """
 
@@ -17,11 +21,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cached_property
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 
 WINDOW = 8
 #: White space that separates words.
@@ -29,6 +34,10 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Rows on which ``Cascade.fit`` measures costs and rejections; they decide the order of rules only.
 SAMPLE_ROWS = 500
+#: Runs of each rule over the sample, and copies of the sample for rules quicker than QUICK seconds.
+RUNS = 2
+COPIES = 10
+QUICK = 0.1
 
 
 def words(text: Column) -> Column:
@@ -81,52 +90,78 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, counted).otherwise(none)
 
 
+class Document:
+    """What rules read of a document: its text, its words and counts, which are computed in place
+    unless they are given as columns."""
+
+    def __init__(self, text: Column, words: Column, **counts: Column):
+        self.text, self.words = text, words
+        self.__dict__.update(counts)
+
+    @cached_property
+    def n_words(self) -> Column:
+        return F.size(self.words)
+
+    @cached_property
+    def word_chars(self) -> Column:
+        return word_chars(self.words)
+
+    @cached_property
+    def n_symbols(self) -> Column:
+        return symbol_count(self.text)
+
+    @cached_property
+    def n_repeat_words(self) -> Column:
+        return repeated_words(self.words)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects(text, words)``: true for a document to be rejected."""
+    """``rejects(document)``: true for a document to be rejected. ``seconds`` a row and ``rejected``, the
+    share of the sample that it rejects and no earlier rule does, are measured by ``Cascade.fit``."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    rejects: Callable[[Document], Column]
     seconds: float = 0.0
     rejected: float = 0.0
 
     @property
     def worth(self) -> float:
-        return self.rejected / max(self.seconds, 1e-4)
+        return self.rejected / max(self.seconds, 1e-9)
 
 
-def _few_words(text, words):
-    return F.size(words) < 20
+def _few_words(d: Document) -> Column:
+    return d.n_words < 20
 
 
-def _repetition(text, words):
-    return repeated_words(words) * 100 > F.size(words) * 30
+def _repetition(d: Document) -> Column:
+    return d.n_repeat_words * 100 > d.n_words * 30
 
 
-def _symbols(text, words):
+def _symbols(d: Document) -> Column:
     """More than 30 symbols for 100 words."""
-    return symbol_count(text) * 100 > F.size(words) * 30
+    return d.n_symbols * 100 > d.n_words * 30
 
 
-def _word_length(text, words):
+def _word_length(d: Document) -> Column:
     """A mean word of under 2 or over 20 characters."""
-    return (word_chars(words) < F.size(words) * 2) | (word_chars(words) > F.size(words) * 20)
+    return (d.word_chars < d.n_words * 2) | (d.word_chars > d.n_words * 20)
 
 
-def _shouting(text, words):
+def _shouting(d: Document) -> Column:
     """More than 60 % of all characters are capital letters A-Z."""
-    return F.char_length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Z]+", "")) * 100 > F.char_length(F.coalesce(text, F.lit(""))) * 60
+    return F.char_length(F.regexp_replace(F.coalesce(d.text, F.lit("")), "[^A-Z]+", "")) * 100 > F.char_length(F.coalesce(d.text, F.lit(""))) * 60
 
 
-def _line_copies(text, words):
+def _line_copies(d: Document) -> Column:
     """More than 60 % of the lines repeat an earlier one."""
-    lines = word_lines(text)
+    lines = word_lines(d.text)
     return duplicate_lines(lines) * 100 > F.size(lines) * 60
 
 
-def _no_letters(text, words):
+def _no_letters(d: Document) -> Column:
     """More than 60 % of the characters in words are digits, ASCII punctuation or symbols."""
-    return F.char_length(F.regexp_replace(F.array_join(words, ""), r"[^\x21-\x40\x5B-\x60\x7B-\x7E]+", "")) * 100 > word_chars(words) * 60
+    return F.char_length(F.regexp_replace(F.array_join(d.words, ""), r"[^\x21-\x40\x5B-\x60\x7B-\x7E]+", "")) * 100 > d.word_chars * 60
 
 
 #: The rules that the base counts decide, and the others.
@@ -134,41 +169,65 @@ BASE = (Rule("few_words", _few_words), Rule("repetition", _repetition))
 FURTHER = (Rule("symbols", _symbols), Rule("word_length", _word_length), Rule("shouting", _shouting), Rule("line_copies", _line_copies), Rule("no_letters", _no_letters))
 
 
+def ordered(rules: list[Rule], rejects: list[list[bool]]) -> tuple[Rule, ...]:
+    """The rules in the order in which they are to be tried; ``rejects`` has a row for each document
+    of the sample. Picks the rule of the most rejections per second among the documents left."""
+    left, out, waiting = list(rejects), [], dict(enumerate(rules))
+    while waiting:
+        hits = {i: sum(row[i] for row in left) / max(1, len(rejects)) for i in waiting}
+        i = min(waiting, key=lambda i: (-hits[i] / max(waiting[i].seconds, 1e-9), waiting[i].seconds, waiting[i].name))
+        out.append(replace(waiting.pop(i), rejected=hits[i]))
+        left = [row for row in left if not row[i]]
+    return tuple(out)
+
+
 class Cascade:
     """Rules in the order in which they are tried."""
 
     def __init__(self, rules: tuple[Rule, ...] = BASE + FURTHER):
         self.rules = tuple(rules)
 
-    def fit(self, docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Cascade:
-        """The same rules, by rejections per second on at most ``sample_rows`` rows."""
-        rows = docs.select(F.col(text).alias("t")).take(sample_rows)  # reads the first partitions only
-        if not rows:
+    def fit(self, docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Cascade:
+        """The same rules, in the order that costs and rejections on at most ``sample_rows`` rows suggest."""
+        rows = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(key), F.col(text)).alias("h")).orderBy("h").limit(sample_rows)
+        sample = written(rows.select("t").coalesce(1), "sample").withColumn("w", words(F.col("t")))  # one task measures
+        document = Document(F.col("t"), F.col("w"))
+        rejects = [[bool(x) for x in r] for r in sample.select(*(r.rejects(document).alias(r.name) for r in self.rules)).collect()]
+        if not rejects:
             return self
-        total = len(rows)
-        texts = docs.sparkSession.createDataFrame(pa.table({"t": pa.array([r["t"] for r in rows], pa.string())}))
-        sample = texts.withColumn("w", words(F.col("t"))).persist()
-        sample.count()
+
+        def seconds(of: DataFrame, test: Column, runs: int = RUNS) -> float:
+            times = []
+            for _ in range(runs):
+                job = of.agg(F.count_if(test))  # a new one each time: a job that has run keeps its results
+                began = time.perf_counter()
+                job.collect()
+                times.append(time.perf_counter() - began)
+            return min(times)
+
+        many = sample.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
+        empty = F.length("t") + F.size("w") < 0
+        idle, idle_many = seconds(sample, empty, RUNS + 1), seconds(many, empty, RUNS + 1)
         measured = []
         for rule in self.rules:
-            began = time.perf_counter()
-            hits = sample.agg(F.count_if(rule.rejects(F.col("t"), F.col("w")))).first()[0]
-            measured.append(replace(rule, seconds=time.perf_counter() - began, rejected=hits / total))
-        sample.unpersist()
-        return Cascade(tuple(sorted(measured, key=lambda r: (-r.worth, r.name))))
+            cost = (seconds(sample, rule.rejects(document)) - idle) / len(rejects)
+            if cost * len(rejects) < QUICK:
+                cost = (seconds(many, rule.rejects(document)) - idle_many) / (len(rejects) * COPIES)
+            measured.append(replace(rule, seconds=max(cost, 1e-9)))
+        return Cascade(ordered(measured, rejects))
 
-    def verdict(self, text: Column, words: Column) -> Column:
+    def verdict(self, text: Column, words: Column, **counts: Column) -> Column:
         """True if no rule rejects; later rules run only where earlier ones pass."""
-        kept = F.lit(True)
+        document, kept = Document(text, words, **counts), F.lit(True)
         for rule in reversed(self.rules):
-            kept = F.when(rule.rejects(text, words), F.lit(False)).otherwise(kept)
+            kept = F.when(rule.rejects(document), F.lit(False)).otherwise(kept)
         return kept
 
     def reason(self, text: Column, words: Column) -> Column:
         """The first rule that rejects, null for kept documents."""
-        out = F.lit(None).cast("string")
+        document, out = Document(text, words), F.lit(None).cast("string")
         for rule in reversed(self.rules):
-            out = F.when(rule.rejects(text, words), F.lit(rule.name)).otherwise(out)
+            out = F.when(rule.rejects(document), F.lit(rule.name)).otherwise(out)
         return out
 
     def keep(self, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -189,12 +248,12 @@ def features(docs: DataFrame, cascade: Cascade, key: str = "doc_id", text: str =
         repeated_words(F.col("w")).alias("n_repeat_words"),
     )
     judged = counted.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
-    return judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade.verdict(F.col("t"), F.col("w")))).drop("t", "w")
+    return judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade.verdict(F.col("t"), F.col("w"), **{c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")}))).drop("t", "w")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return features(docs, Cascade(FURTHER).fit(docs))
+    return features(docs, Cascade().fit(docs))
 
 
 SQL = r"""

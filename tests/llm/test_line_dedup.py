@@ -1,3 +1,5 @@
+import time
+
 from oracle import same
 from quernel.llm import line_dedup as ld
 
@@ -34,6 +36,19 @@ def test_emptied_documents_and_empty_table(spark):
     assert ld.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_many_lines_and_long_lines(spark):
+    """Documents of very many lines that all go, and a line of very many tokens."""
+    many = "\n".join(f"the same old line {i}" for i in range(60_000))
+    long = "token after token " * 50_000
+    docs = [(i, many) for i in range(ld.LEAST_DOCS)] + [(100 + i, f"{long}\nown words of {chr(97 + i)} here") for i in range(ld.LEAST_DOCS)]
+    docs = [(i, t + f"\nlast of {i} here now{chr(97 + i % 26) * 3}") for i, t in docs]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 120
+    assert got[0] == docs[0][1] and not any("old line" in got[i] for i in range(1, ld.LEAST_DOCS))
+    assert got[100].startswith("token after") and not any("token after" in got[100 + i] for i in range(1, ld.LEAST_DOCS))
+
+
 def test_no_python_in_the_plan(spark, folder):
     plan = ld.op7_line_dedup(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -37,6 +37,46 @@ def test_trigrams_are_bound_in_order():
     assert cosine < 0.6 and np.array_equal(language_id.Trigrams(["zz", "ABC"]).vector(1), a.vector(0))
 
 
+def plain_vector(text):
+    """Trigram by trigram, letter by letter."""
+    out = np.zeros(language_id.DIM)
+    words = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ").split()
+    line = " " + "".join(w + " " for w in words) if words else ""
+    for i in range(len(line) - 2):
+        a, b, c = (language_id.letter_vector(ord(x)).astype(int) for x in line[i : i + 3])
+        out += np.roll(a, 2) * np.roll(b, 1) * c
+    return out
+
+
+def test_vectors_equal_plain_loops(monkeypatch):
+    texts = ["Straße 12 über-all", "x", "漢字 かな", "the cat, the hat; the " * 9, "ÀÉ 1a2b\nç"]
+    want = [plain_vector(t) for t in texts]
+    for table, block, segment in ((1 << 14, 1 << 12, 1 << 20), (0, 3, 1 << 20), (0, 5, 8)):
+        monkeypatch.setattr(language_id, "TABLE", table)
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        monkeypatch.setattr(language_id, "SEGMENT", segment)
+        assert all(np.array_equal(v, w) for v, w in zip(language_id.vectors([*texts, None, "5 !"]), want))
+        assert language_id.vectors([None, "5 !"]) == [None, None]
+
+
+def test_segments_cover_a_text():
+    text = "word and word " * 50 + "x" * 100
+    got = list(language_id.segments(text, 16))
+    assert "".join(got) == text and all(len(x) <= 32 for x in got) and len(got) > 20
+
+
+def test_memory_of_a_long_text_of_many_letters():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 200_000)))
+    tracemalloc.start()
+    v = language_id.vectors([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.linalg.norm(v) > 0 and peak < 200e6
+
+
 def test_quality_of_held_out_documents(spark):
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     rows = quality_classifier.op6_quality_classifier(spark, SMALL).collect()

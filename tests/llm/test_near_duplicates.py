@@ -45,6 +45,25 @@ def test_edges(spark):
     assert nd.components(df.limit(0)).count() == 0
 
 
+def test_a_family_of_unlinked_classes_needs_no_blocks(spark, monkeypatch):
+    """Classes that share half of their shingles with a hub, and little else with each other."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+    docs = {i: " ".join(common + [f"o{rng.randrange(10**6)}" for _ in range(50)]) for i in range(300)}
+    docs |= {1000 + i: docs[i] + f" end{i}" for i in range(0, 300, 3)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    sent = []
+    blocks = nd._in_blocks
+    monkeypatch.setattr(nd, "_in_blocks", lambda around, *more: sent.append((around.count(), around.select("b").distinct().count())) or blocks(around, *more))
+    assert found(nd.components(df)) == plain.components(docs, 5, 80)
+    assert sent[0][1] <= 200  # of 400 classes, those that have a copy
+
+
+def test_same_as_brute_force_on_a_thousand_documents(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert found(nd.op9_near_duplicates(spark, "/root/testdata/sf0.01")) == plain.components(docs, 3, 85)
+
+
 def test_chains_are_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r["node"]: r["component"] for r in nd.connected(links).collect()}
