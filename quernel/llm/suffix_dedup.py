@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, mapped, pieces, raw, table, written
+from .common import Sieve, erase, mapped, pieces, raw, scope, table, written
 
 LENGTH = 400
 #: Bytes of the shorter repeats that the query reports beside them: about 50 words at least.
@@ -50,7 +50,7 @@ PASSAGE = 256
 WINDOW = 192
 GRAM = 32
 #: Most contexts that are sorted together; each takes up to about 600 bytes.
-GROUP = 4096
+GROUP = 1024
 #: Parts into which a range of places is cut when a group is larger.
 PARTS = 4
 #: Grams that are hashed at once.
@@ -332,7 +332,7 @@ def _sorted_groups(contexts: DataFrame, least: int) -> DataFrame:
 
 def _parted(contexts: DataFrame, reach: Reach, least: int, group: int) -> list[DataFrame]:
     """The same for groups that are too large: they are parted by longer common strings."""
-    found = []
+    found, spent = [], []
     rows = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(reach.left)})
     while True:
         step = F.ceil((F.col("hi") - F.col("lo") + 1) / PARTS).cast("int")
@@ -345,15 +345,19 @@ def _parted(contexts: DataFrame, reach: Reach, least: int, group: int) -> list[D
             F.xxhash64(*all_of_it).alias("x1"), F.xxhash64(F.lit(1), *all_of_it).alias("x2"), "k1", "k2", "at", "single",
             F.expr("at - least(b, length(l))").alias("start"), F.expr(f"at + least({least} - a, length(r))").alias("end"),
         )
-        rows = written(rows, "parts")
-        alike = rows.groupBy("g1", "g2", "x1", "x2").agg(F.min(F.struct("k1", "k2", "at", "shared", "lo", "hi")).alias("first"), F.count("*").alias("n"), F.max("single").alias("single"))
-        alike = written(alike.select("g1", "g2", "x1", "x2", "first", "n", (F.col("single") & (F.col("n") == 1)).alias("open")), "alike")
-        settled = rows.filter("single").join(alike.filter("n > 1").select("g1", "g2", "x1", "x2"), ["g1", "g2", "x1", "x2"])
-        found.append(settled.filter(F.col("end") - F.col("start") >= least).select("k1", "k2", "start", "end"))
-        sizes = written(alike.groupBy("g1", "g2").agg(F.count("*").alias("m"), F.max("open").alias("open")).filter("m > 1 AND open").select("g1", "g2", "m"), "sizes")
-        firsts = written(alike.join(sizes.drop("open"), ["g1", "g2"]).select("g1", "g2", "first.*", F.col("open").alias("single"), "m"), "firsts")
-        rows = firsts.join(contexts.select("k1", "k2", "at", "l", "r"), ["k1", "k2", "at"])
-        found.append(_sorted_groups(rows.filter(F.col("m") <= group), least))
+        with scope() as made:
+            rows = written(rows, "parts")
+            alike = rows.groupBy("g1", "g2", "x1", "x2").agg(F.min(F.struct("k1", "k2", "at", "shared", "lo", "hi")).alias("first"), F.count("*").alias("n"), F.max("single").alias("single"))
+            alike = written(alike.select("g1", "g2", "x1", "x2", "first", "n", (F.col("single") & (F.col("n") == 1)).alias("open")), "alike")
+            settled = rows.filter("single").join(alike.filter("n > 1").select("g1", "g2", "x1", "x2"), ["g1", "g2", "x1", "x2"])
+            settled = settled.filter(F.col("end") - F.col("start") >= least).select("k1", "k2", "start", "end")
+            sizes = written(alike.groupBy("g1", "g2").agg(F.count("*").alias("m"), F.max("open").alias("open")).filter("m > 1 AND open").select("g1", "g2", "m"), "sizes")
+            firsts = written(alike.join(sizes, ["g1", "g2"]).select("g1", "g2", "first.*", alike["open"].alias("single"), "m"), "firsts")
+            rows = firsts.join(contexts.select("k1", "k2", "at", "l", "r"), ["k1", "k2", "at"])
+            found.append(written(settled.union(_sorted_groups(rows.filter(F.col("m") <= group), least)), "ranges"))
+        # What goes on is made of ``firsts`` alone.
+        erase(contexts.sparkSession, [*spent, *made[:3]])
+        spent = made[3:4]
         if firsts.filter(F.col("m") > group).isEmpty():
             return found
         rows = rows.filter(F.col("m") > group)
@@ -419,7 +423,9 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     named = _named(docs, key, text)
     reach = Reach(length, passage, window)
     copies = named.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2", F.lit(True).alias("copies"))
-    marks = written(repeated(named, reach, group).join(copies, ["k1", "k2"], "full"), "marks")
+    with scope() as made:
+        marks = written(repeated(named, reach, group).join(copies, ["k1", "k2"], "full"), "marks")
+    erase(docs.sparkSession, made[:-1])
 
     def run(batches):
         pairs = lambda runs: pa.array([[list(x) for x in r] for r in runs], pa.list_(pa.list_(pa.int32())))
