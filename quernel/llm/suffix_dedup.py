@@ -50,7 +50,7 @@ PASSAGE = 256
 WINDOW = 192
 GRAM = 32
 #: Most contexts that are sorted together; each takes up to about 600 bytes.
-GROUP = 1024
+GROUP = 16_384
 #: Parts into which a range of places is cut when a group is larger.
 PARTS = 4
 #: Grams that are hashed at once.

@@ -1,13 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is split into clauses, and a clause into words. Small transducers read the words one
-after the other: *insult* (a fixed list, and word forms learned from labels), *threat*,
-*target* (words for a person), *negation* and *reported speech*. Their composition has the
-product of their states; each transducer has two states, and a negation or a reporting verb
-only acts on what follows it in the clause. The state in which the composed machine ends is
-the clause's pattern, such as "learned insult, targeted, not negated, not reported", and each
-pattern that is more than neutral has a weight. A document's score is the logistic function
-of the sum, over its patterns, of weight times log(1 + matched clauses): whole clauses count,
+A text is split into clauses, and a clause into words. A lexical transducer reads words and
+writes classes: insult (a fixed list, and word forms learned from labels), threat, target (words for a person), negation,
+reporting verb or other; phrases of several words are paths through it, beside the words' own. Three
+transducers over classes are composed with each other (``compose``) and with it:
+
+* *negation* marks insults and threats among the ``SCOPE`` words after a negation,
+* *reported speech* marks those after a reporting verb, to the end of the clause,
+* *target* has the weights: it guesses at an insult or threat that a target comes within ``REACH`` words, or
+  remembers one from as many words before; a guess that is not met ends in no final state.
+
+A clause's reading is the path of the largest weight, and its pattern the strongest symbol on it, such
+as ``I-@``: an insult, negated, at a target. A document's score is the logistic function
+of the sum, over its patterns, of weight times log(1 + clauses of the pattern): whole clauses count,
 not single words.
 
 Learned from at most ``TRAINING_ROWS`` labelled rows, those of the smallest hash of the id:
@@ -15,12 +20,15 @@ Learned from at most ``TRAINING_ROWS`` labelled rows, those of the smallest hash
 * insult forms, whole words or beginnings of 4 to 8 letters: those for which the texts that
   hold them are toxic far more often than texts are on the whole (a binomial tail bound
   over all forms that occur). Confirmed near copies of the same label count once there.
-* the patterns' weights, by logistic regression with a normal prior around ``PRIOR``.
-
-Defined results: null and empty texts match nothing and score as the intercept does; labels
-other than 0 and 1 and null labels or ids are not learned from; without labelled rows the
-fixed lists and the prior decide; rows are scored one by one; columns other than id and text
-are not read.
+* the patterns' weights, by logistic regression with a normal prior around the grammar's own.
+
+Defined results: null and empty texts match nothing and score as the intercept does; texts of any
+length are read whole; labels
+other than 0 and 1 and null labels or ids are not learned from; of different labels of one id the larger
+counts, and every row of a labelled id is learned from; without labelled rows the
+fixed lists and the prior decide; an empty table gives an empty table; paths of equal weight differ in nothing that
+counts; rows are scored one by one; columns other than id and text
+are not read, whatever their names are.
 """
 
 from __future__ import annotations
@@ -54,67 +62,188 @@ TARGETS = frozenset("you your yours yourself u they them he him she her everyone
 NEGATIONS = frozenset("not no never neither nor without isn aren wasn don doesn didn ne pas jamais aucun sans nicht kein keine nie ohne nunca jamás sin tampoco".split())
 REPORTS = frozenset("said says say called calls claimed claims wrote writes quoted quote reported reportedly according allegedly dit appelé écrit selon sagte nannte schrieb laut dijo llamó escribió según".split())
 
-#: Bits of the composed machine's state.
-FIXED, LEARNED, THREAT, TARGET, NEGATED, REPORTED = (1 << i for i in range(6))
-STATES = 64
+PHRASES = {"piece of trash": "I", "waste of space": "I", "go to hell": "I", "shut up": "I", "drop dead": "I", "going to get": "T", "will find": "T"}
+
+#: Classes: insult, learned insult, threat; target, negation, report, other.
+LOUD, QUIET = ("I", "F", "T"), ("Y", "N", "R", "W")
+#: Words after a negation that it marks, and words between a target and what is aimed at it.
+SCOPE = 4
+REACH = 6
 _CLAUSES = re.compile(r"[^.!?;:\n]+").findall
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-def _prior() -> np.ndarray:
-    """Weight of each end state before anything is learned."""
-    out = np.zeros(STATES)
-    for s in range(STATES):
-        if not s & (FIXED | LEARNED | THREAT) or s & THREAT and not s & (FIXED | LEARNED | TARGET):
-            continue
-        w = 2.0 * bool(s & (FIXED | LEARNED)) + 2.0 * bool(s & THREAT) + 0.5 * bool(s & TARGET)
-        out[s] = w * (0.3 if s & NEGATED else 1.0) * (0.5 if s & REPORTED else 1.0)
-    return out
+@dataclass(frozen=True)
+class Transducer:
+    """Weighted arcs (state, input) -> (output, weight, next state); weights add up along a path."""
+
+    arcs: dict[tuple[int, str], tuple[tuple[str, float, int], ...]]
+    finals: frozenset[int]
+    start: int = 0
+
+    def best(self, symbols) -> float | None:
+        """The largest weight of a path that reads the symbols and ends in a final state."""
+        active = {self.start: 0.0}
+        for x in symbols:
+            after: dict[int, float] = {}
+            for state, weight in active.items():
+                for _, w, to in self.arcs.get((state, x), ()):
+                    after[to] = max(after.get(to, -math.inf), weight + w)
+            active = after
+        return max((w for s, w in active.items() if s in self.finals), default=None)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The machine that writes what b writes when it reads what a writes; a state is one of each."""
+    numbers, waiting = {(a.start, b.start): 0}, [(a.start, b.start)]
+    leaving: dict[int, list] = {}
+    for (state, x), arcs in a.arcs.items():
+        leaving.setdefault(state, []).append((x, arcs))
+    out: dict[tuple[int, str], list] = {}
+    while waiting:
+        s, t = waiting.pop()
+        for x, arcs in leaving.get(s, ()):
+            for written, w, to in arcs:
+                for o, v, then in b.arcs.get((t, written), ()):
+                    if (to, then) not in numbers:
+                        numbers[to, then] = len(numbers)
+                        waiting.append((to, then))
+                    out.setdefault((numbers[s, t], x), []).append((o, w + v, numbers[to, then]))
+    finals = frozenset(n for (s, t), n in numbers.items() if s in a.finals and t in b.finals)
+    return Transducer({k: tuple(v) for k, v in out.items()}, finals)
+
+
+def negation() -> Transducer:
+    """State k: the next k words are in a negation's scope."""
+    arcs = {}
+    for k in range(SCOPE + 1):
+        for x in (*LOUD, *QUIET):
+            out = x + "-" if k and x in LOUD else x
+            arcs[k, x] = ((out, 0.0, SCOPE if x == "N" else max(0, k - 1)),)
+    return Transducer(arcs, frozenset(range(SCOPE + 1)))
+
+
+def reported() -> Transducer:
+    """State 1: a reporting verb was read."""
+    arcs = {}
+    for k in (0, 1):
+        for x in (*LOUD, *(x + "-" for x in LOUD), *QUIET):
+            arcs[k, x] = ((x + "~" if k and x[0] in LOUD else x, 0.0, 1 if x == "R" else k),)
+    return Transducer(arcs, frozenset((0, 1)))
+
+
+def weight_of(pattern: str) -> float:
+    """The grammar's own weight of a symbol that the composed machine writes."""
+    aimed = "@" in pattern
+    w = (2.0 if aimed else 0.0) if pattern[0] == "T" else 2.5 if aimed else 2.0
+    return w * (0.3 if "-" in pattern else 1.0) * (0.5 if "~" in pattern else 1.0)
+
+
+PATTERNS = tuple(x + n + r + t for x in LOUD for n in ("", "-") for r in ("", "~") for t in ("", "@") if weight_of(x + n + r + t) > 0)
+PRIOR = np.array([weight_of(p) for p in PATTERNS])
+INTERCEPT = -2.5
 
 
-PRIOR = _prior()
-INTERCEPT = -2.5
+def target() -> Transducer:
+    """States 0 to REACH: so many words yet in which a target that was read is near. States beyond:
+    an insult or threat waits for its target, so many words yet."""
+    loud = [x + n + r for x in LOUD for n in ("", "-") for r in ("", "~")]
+    arcs: dict[tuple[int, str], tuple] = {}
+    for k in range(2 * REACH + 1):
+        wait = k - REACH if k > REACH else 0
+        for x in (*loud, *QUIET):
+            if x == "Y":
+                arcs[k, x] = ((x, 0.0, REACH),)
+                continue
+            if wait:
+                then = (k - 1,) if wait > 1 else ()
+            else:
+                then = (max(0, k - 1),)
+            if x in QUIET:
+                found = [(x, 0.0, to) for to in then]
+            elif k and not wait:
+                found = [(x + "@", weight_of(x + "@"), to) for to in then]
+            elif wait:  # what is guessed for one is for the next one, too
+                found = [(x + "@", weight_of(x + "@"), to) for to in then]
+            else:
+                found = [(x, weight_of(x), 0), (x + "@", weight_of(x + "@"), 2 * REACH)]
+            arcs[k, x] = tuple(found)
+    return Transducer(arcs, frozenset(range(REACH + 1)))
+
+
+MACHINE = compose(compose(negation(), reported()), target())
+
+
+def _phrases(phrases: dict[str, str]) -> tuple[dict[tuple[int, str], int], dict[tuple[int, str], str], set[str]]:
+    """The paths of phrases through the lexical transducer: (state, word) -> state, and -> class where
+    one ends; and a word of each, without which it can't be there."""
+    steps: dict[tuple[int, str], int] = {}
+    ends: dict[tuple[int, str], str] = {}
+    for phrase, kind in phrases.items():
+        state, words = 0, phrase.split()
+        for w in words[:-1]:
+            state = steps.setdefault((state, w), len(steps) + 1)
+        ends[state, words[-1]] = kind
+    return steps, ends, {max(p.split(), key=len) for p in phrases}
+
+
+STEPS, ENDS, MARKS = _phrases(PHRASES)
 
 
 @dataclass(frozen=True)
 class Grammar:
     learned: frozenset[str] = frozenset()
 
-    def symbol(self, word: str) -> int:
-        """The transducers that a word moves."""
-        learned = self.learned
-        out = FIXED * (word in INSULTS) | THREAT * (word in THREATS) | TARGET * (word in TARGETS) | NEGATED * (word in NEGATIONS) | REPORTED * (word in REPORTS)
-        if learned and (word in learned or any(word[:n] + "*" in learned for n in LENGTHS)):
-            out |= LEARNED
+    def symbol(self, word: str) -> str:
+        """The class of a word by itself."""
+        if word in INSULTS:
+            return "I"
+        if self.learned and (word in self.learned or any(word[:n] + "*" in self.learned for n in LENGTHS)):
+            return "F"
+        for kind, words in (("T", THREATS), ("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)):
+            if word in words:
+                return kind
+        return "W"
+
+    def lexical(self, state: int, word: str, known: dict[str, str]) -> list[tuple[str, int]]:
+        """Arcs (class, next state) of the lexical transducer: the word's own, and those of phrases."""
+        out = [(self._symbol(word, known), 0)] if state == 0 else []
+        if (to := STEPS.get((state, word))) is not None:
+            out.append((self._symbol(word, known), to))
+        if (kind := ENDS.get((state, word))) is not None:
+            out.append((kind, 0))
         return out
 
-    def step(self, state: int, symbol: int) -> int:
-        """The composed machine: negation and reported speech act on what follows them only."""
-        if state & (FIXED | LEARNED | THREAT):
-            symbol &= ~(NEGATED | REPORTED)
-        return state | symbol
-
-    def patterns(self, text: str | None, known: dict[str, int]) -> Counter:
-        """How many clauses end in each state that is more than neutral. ``known`` remembers symbols."""
+    def clause(self, words: list[str], known: dict[str, str]) -> tuple[float, str]:
+        """Weight and pattern of the best path, of the lexical transducer composed with ``MACHINE`` as it is read."""
+        active: dict[tuple[int, int], tuple[float, float, str]] = {(0, MACHINE.start): (0.0, 0.0, "")}
+        for word in words:
+            after: dict[tuple[int, int], tuple[float, float, str]] = {}
+            for (s, t), (weight, top, pattern) in active.items():
+                for x, to in self.lexical(s, word, known):
+                    for out, w, then in MACHINE.arcs.get((t, x), ()):
+                        new = (weight + w, w, out) if w > top else (weight + w, top, pattern)
+                        if new > after.get((to, then), (-1.0,)):
+                            after[to, then] = new
+            active = after
+        return max(((weight, pattern) for (s, t), (weight, _, pattern) in active.items() if s == 0 and t in MACHINE.finals), default=(0.0, ""))
+
+    def patterns(self, text: str | None, known: dict[str, str]) -> Counter:
+        """How many clauses have each pattern. ``known`` remembers the classes of words."""
         found: Counter = Counter()
         text = (text or "").lower()
-        loud = {w for w in set(_WORDS(text)) if self._symbol(w, known) & (FIXED | LEARNED | THREAT)}
+        loud = {w for w in set(_WORDS(text)) if self._symbol(w, known) in LOUD or w in MARKS}
         if not loud:
             return found
         for clause in _CLAUSES(text):
             words = _WORDS(clause)
-            if loud.isdisjoint(words):
-                continue
-            state = 0
-            for word in words:
-                symbol = known.get(word, 0)
-                if symbol:
-                    state = self.step(state, symbol)
-            if PRIOR[state]:
-                found[state] += 1
+            if not loud.isdisjoint(words):
+                weight, pattern = self.clause(words, known)
+                if weight > 0:
+                    found[pattern] += 1
         return found
 
-    def _symbol(self, word: str, known: dict[str, int]) -> int:
+    def _symbol(self, word: str, known: dict[str, str]) -> str:
         symbol = known.get(word)
         if symbol is None:
             if len(known) >= 300_000:
@@ -124,7 +253,7 @@ class Grammar:
 
 
 def forms(words: set[str]) -> set[str]:
-    out = {w for w in words if 3 <= len(w) <= 30}
+    out = {w for w in words if len(w) >= 3}
     for n in LENGTHS:
         out |= {w[:n] + "*" for w in words if len(w) >= n}
     return out
@@ -168,18 +297,15 @@ def learn_forms(train: DataFrame) -> frozenset[str]:
         yield {"form": every, "clean": [rows[0], *(seen[0][f] for f in every[1:])], "toxic": [rows[1], *(seen[1][f] for f in every[1:])]}
 
     counted = mapped(without_copies(train), count, "form string, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= LEAST_TEXTS)
-    counted = counted.persist()
-    try:
-        total = counted.filter("form = ''").first()
-        if total is None or not total["toxic"] or not total["clean"]:
-            return frozenset()
-        base, n_forms = total["toxic"] / (total["toxic"] + total["clean"]), counted.count()
-        share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-        gain = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
-        good = counted.filter("form != '' and toxic > 0").filter(share > base + (1 - base) * LEAST_LIFT).filter((F.col("toxic") + F.col("clean")) * gain > math.log(n_forms / ACCIDENT))
-        found = {r["form"] for r in good.select("form").collect()}  # bounded by the training rows
-    finally:
-        counted.unpersist()
+    counted = written(counted, "forms")
+    total = counted.filter("form = ''").first()
+    if total is None or not total["toxic"] or not total["clean"]:
+        return frozenset()
+    base, n_forms = total["toxic"] / (total["toxic"] + total["clean"]), counted.count()
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    gain = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    good = counted.filter("form != '' and toxic > 0").filter(share > base + (1 - base) * LEAST_LIFT).filter((F.col("toxic") + F.col("clean")) * gain > math.log(n_forms / ACCIDENT))
+    found = {r["form"] for r in good.select("form").collect()}  # bounded by the training rows
     return frozenset(f for f in found if not any(f.rstrip("*")[:n] + "*" in found for n in range(min(LENGTHS), len(f.rstrip("*")) + (not f.endswith("*")))))
 
 
@@ -190,16 +316,16 @@ class Model:
     intercept: float = INTERCEPT
 
     def score(self, patterns: Counter) -> float:
-        x = self.intercept + sum(self.weights[s] * math.log1p(n) for s, n in patterns.items())
+        x = self.intercept + sum(self.weights[PATTERNS.index(p)] * math.log1p(n) for p, n in patterns.items())
         return 1.0 / (1.0 + math.exp(-min(50.0, max(-50.0, x))))
 
 
 def learn_weights(rows: list[tuple[Counter, int]], strength: float = 0.5, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Gradient ascent on the posterior; the weights' normal prior is centred at ``PRIOR``."""
-    x = np.zeros((len(rows), STATES))
+    x = np.zeros((len(rows), len(PATTERNS)))
     for i, (patterns, _) in enumerate(rows):
-        for s, n in patterns.items():
-            x[i, s] = math.log1p(n)
+        for p, n in patterns.items():
+            x[i, PATTERNS.index(p)] = math.log1p(n)
     y = np.array([y for _, y in rows], float)
     w, b = PRIOR.copy(), INTERCEPT
     curve = 0.25 * (x * x).sum(0) + strength
@@ -207,7 +333,7 @@ def learn_weights(rows: list[tuple[Counter, int]], strength: float = 0.5, rounds
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         w += 0.5 * (x.T @ (y - p) - strength * (w - PRIOR)) / curve
         b += 0.5 * float((y - p).sum()) / (0.25 * len(rows) + 1)
-    return np.where(PRIOR > 0, w, 0), b
+    return w, b
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = TRAINING_ROWS) -> Model:
@@ -216,15 +342,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     grammar = Grammar(learn_forms(train))
 
     def match(batches):
-        known: dict[str, int] = {}
+        known: dict[str, str] = {}
         for b in pieces(batches, "t"):
             found = [grammar.patterns(t, known) for t in b.column("t").to_pylist()]
-            yield {"y": b.column("y"), "states": pa.array([list(c) for c in found], pa.list_(pa.int32())), "counts": pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))}
+            yield {"y": b.column("y"), "found": pa.array([list(c) for c in found], pa.list_(pa.string())), "counts": pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))}
 
-    got = mapped(train, match, "y int, states array<int>, counts array<int>").toArrow().to_pylist()  # one small row for each training row
+    got = mapped(train, match, "y int, found array<string>, counts array<int>").toArrow().to_pylist()  # one small row for each training row
     if not got:
         return Model(grammar)
-    weights, intercept = learn_weights([(Counter(dict(zip(r["states"], r["counts"]))), r["y"]) for r in got])
+    weights, intercept = learn_weights([(Counter(dict(zip(r["found"], r["counts"]))), r["y"]) for r in got])
     return Model(grammar, tuple(weights.tolist()), float(intercept))
 
 
@@ -234,7 +360,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc
     passed = tuple(also)
 
     def run(batches):
-        known: dict[str, int] = {}
+        known: dict[str, str] = {}
         for b in pieces(batches, "t"):
             found = [model.grammar.patterns(t, known) for t in b.column("t").to_pylist()]
             scores = list(map(model.score, found))

@@ -90,7 +90,7 @@ def test_toxicity_of_held_out_documents(spark):
     rows = toxicity.op10_toxicity(spark, SMALL).collect()
     assert len(rows) == 1000 and all(r["held_out"] == outside(r["doc_id"], 4, 2) and (r["score"] >= 0.3) == r["predicted"] for r in rows)
     held = [(truth[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and r["doc_id"] in truth]
-    assert np.mean([p for t, p in held if t]) > 0.5 and np.mean([p for t, p in held if not t]) < 0.02
+    assert np.mean([p for t, p in held if t]) > 0.6 and np.mean([p for t, p in held if not t]) < 0.02
 
 
 def test_only_near_copies_count_once(spark):
@@ -127,23 +127,68 @@ def test_ftrl_learns_and_drops_noise():
 
 
 @pytest.mark.parametrize(
-    "text, state",
+    "text, pattern",
     [
-        ("You are an idiot", toxicity.TARGET | toxicity.FIXED),
-        ("You are not an idiot", toxicity.TARGET | toxicity.NEGATED | toxicity.FIXED),
-        ("He said you are an idiot", toxicity.REPORTED | toxicity.TARGET | toxicity.FIXED),
-        ("idiot, not you", toxicity.TARGET | toxicity.FIXED),
-        ("I will kill you", toxicity.THREAT | toxicity.TARGET),
-        ("they kill time. You read.", None),
+        ("You are an idiot", "I@"),
+        ("idiot, I say to you", "I@"),
+        ("What an idiot", "I"),
+        ("You are not an idiot", "I-@"),
+        ("not now but in a year or two you will be an idiot", "I@"),
+        ("He said you are an idiot", "I~@"),
+        ("He said you are no idiot", "I-~@"),
+        ("I will kill you", "T@"),
+        ("We kill time", None),
+        ("You are a waste of space", "I@"),
+        ("A waste of good space", None),
+        ("they read. We kill time", None),
         ("Nothing here", None),
     ],
 )
-def test_clauses(text, state):
-    found = toxicity.Grammar().patterns(text, {})
-    if state is None:
-        assert all(s & toxicity.TARGET and s & toxicity.THREAT for s in found)
-    else:
-        assert found == {state: 1}
+def test_clauses(text, pattern):
+    assert dict(toxicity.Grammar().patterns(text, {})) == ({pattern: 1} if pattern else {})
+
+
+def all_paths(machine, symbols, state=None, out=(), weight=0.0):
+    state = machine.start if state is None else state
+    if not symbols:
+        return [(out, weight)] if state in machine.finals else []
+    return [p for o, w, to in machine.arcs.get((state, symbols[0]), ()) for p in all_paths(machine, symbols[1:], to, (*out, o), weight + w)]
+
+
+def test_composition_equals_path_enumeration():
+    rng = np.random.default_rng(4)
+
+    def machine():
+        arcs = {}
+        for state in range(3):
+            for x in "abc":
+                arcs[state, x] = tuple((str(rng.choice(list("abc"))), float(rng.integers(-4, 5)), int(rng.integers(0, 3))) for _ in range(rng.integers(0, 3)))
+        return toxicity.Transducer(arcs, frozenset(map(int, rng.integers(0, 3, 2))))
+
+    for _ in range(60):
+        a, b = machine(), machine()
+        both = toxicity.compose(a, b)
+        for _ in range(5):
+            word = tuple(map(str, rng.choice(list("abc"), rng.integers(0, 6))))
+            want = [(o2, w + v) for o, w in all_paths(a, word) for o2, v in all_paths(b, o)]
+            assert sorted(all_paths(both, word)) == sorted(want)
+            assert both.best(word) == max((w for _, w in want), default=None)
+
+
+def test_clause_is_the_best_of_all_paths():
+    rng = np.random.default_rng(8)
+    words = "you idiot not said kill waste of space and the trash piece".split()
+    grammar = toxicity.Grammar()
+
+    def readings(text, state=0, out=()):
+        if not text:
+            return [out] if state == 0 else []
+        return [r for x, to in grammar.lexical(state, text[0], {}) for r in readings(text[1:], to, (*out, x))]
+
+    for _ in range(120):
+        text = list(map(str, rng.choice(words, rng.integers(1, 9))))
+        want = max((w for r in readings(text) for _, w in all_paths(toxicity.MACHINE, r)), default=0.0)
+        assert grammar.clause(text, {})[0] == pytest.approx(want)
 
 
 def test_scores_follow_the_grammar():
