@@ -1,6 +1,7 @@
 """Reads statements up to their semicolons, runs them and prints what they give.
 
-``python -m quernel.repl FOLDER`` reads standard input, over a folder of Parquet tables.
+``python -m quernel.repl FOLDER [HOME [CATALOG]]`` reads standard input, over a folder of Parquet
+tables or, with a text catalog, of delimited files. Made tables are kept in HOME.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ import sys
 from typing import TextIO
 
 from .session import Session
-from .sources.text import as_lines
 
 
 def statements(lines: TextIO):
@@ -37,8 +37,8 @@ def run(session: Session, lines: TextIO = sys.stdin, out: TextIO = sys.stdout) -
                 print(result.plan, file=out)
             if result.df is not None:
                 n = 0
-                for row in as_lines(result.df).toLocalIterator():
-                    print(row[0], file=out)
+                for line in result.lines():
+                    print(line, file=out)
                     n += 1
                 print(f"OK, {n} rows returned", file=out)
             elif result.message:
@@ -51,4 +51,9 @@ def run(session: Session, lines: TextIO = sys.stdin, out: TextIO = sys.stdout) -
 if __name__ == "__main__":
     from pyspark.sql import SparkSession
 
-    run(Session.of(SparkSession.builder.appName("quernel").getOrCreate(), sys.argv[1]))
+    spark = SparkSession.builder.appName("quernel").getOrCreate()
+    folder, home, catalog = [*sys.argv[1:4], None, None][:3]
+    session = Session(spark, home) if catalog else Session.of(spark, folder, home)
+    if catalog:
+        session.use_catalog(catalog, folder)
+    run(session)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from .plans.planner import plan
 from .plans.statistics import Statistics, collect
 from .plans.syntax import CreateTable, DialectError, DropTable, Help, Insert, Select, SetOutput, UpdateStatistics, parse_sql
 from .sources import text
-from .sources.catalog import Catalog
+from .sources.catalog import Catalog, relations
 
 #: The tables that ``Session.of`` looks for.
 TABLES = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events")
@@ -33,22 +34,40 @@ class Result:
     plan: str = ""
     seconds: float = 0.0
 
+    def lines(self) -> Iterator[str]:
+        """The rows as text, fetched one after the other; their time is added to ``seconds``."""
+        began = time.perf_counter()
+        try:
+            for row in text.as_lines(self.df).toLocalIterator():
+                yield row[0]
+        finally:
+            self.seconds += time.perf_counter() - began
+
 
 class Session:
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, home: str | None = None):
+        """Made tables are kept in the folder ``home``, where later sessions find them; without one,
+        in a folder of this session that goes when the driver ends."""
         self.spark = spark
-        self.catalog = Catalog(spark)
+        self.catalog = Catalog(spark, home)
         self.statistics = Statistics()
         self.output = "STDOUT"
 
     @classmethod
-    def of(cls, spark: SparkSession, folder: str) -> Session:
+    def of(cls, spark: SparkSession, folder: str, home: str | None = None) -> Session:
         """A session over a folder of Parquet tables."""
-        out = cls(spark)
+        out = cls(spark, home)
         for name in TABLES:
             out.catalog.register(name, lambda name=name: spark.read.parquet(f"{folder}/{name}.parquet"))
         return out
 
+    def use_catalog(self, path: str, folder: str) -> list[str]:
+        """Registers the relations of a text catalog, each read from its delimited file in ``folder``."""
+        known = relations("\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()))
+        for name, (file, schema) in known.items():
+            self.catalog.register(name, lambda file=file, schema=schema: text.load(self.spark, f"{folder}/{file}", schema))
+        return list(known)
+
     def select(self, statement: str) -> DataFrame:
         """The DataFrame of a SELECT, not run."""
         found = parse_sql(statement)

@@ -1,7 +1,7 @@
 """Delimited text: a field, a bar, and so on, one row a line.
 
 Reading is lenient: a whole number or double is the longest beginning of the field that is one,
-and 0 where there is none. Writing puts a bar after every field and six decimals on doubles.
+and 0 where there is none. A whole number beyond 64 bits is the nearest that has 64. Writing puts a bar after every field and six decimals on doubles.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from ..functions.expressions import kind
 def lenient(field: Column, dtype: T.DataType) -> Column:
     text = F.coalesce(field, F.lit(""))
     if kind(dtype) == "int":
-        return F.coalesce(F.regexp_extract(text, r"^\s*([+-]?\d{1,18})", 1).try_cast("bigint"), F.lit(0)).cast(dtype)
+        digits = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
+        beyond = F.when(digits.startswith("-"), F.lit(-(1 << 63))).otherwise(F.lit((1 << 63) - 1))
+        return F.coalesce(digits.try_cast("bigint"), F.when(digits != "", beyond), F.lit(0).cast("bigint")).cast(dtype)
     if kind(dtype) == "double":
         return F.coalesce(F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double"), F.lit(0.0))
     return text
