@@ -3,14 +3,16 @@
 A rule blocks or allows a host with all its subdomains, for paths with a given beginning; of the
 rules that fit a URL the longest decides. Where none fits, the method does:
 
-* *Segmentation*: a host label is split into words by unigram Viterbi. Word counts come from path
+* *Segmentation*: host labels and path words are split into words by unigram Viterbi. Word counts come from path
   words, once for each different host that does not hold the word itself, and from the fixed lists
   below: a label's own hosts do not make it a word. A label of which a part would be no known word
-  stays whole.
-* *Naive Bayes*: different hosts and path words whose segments hold a word of ``STRONG`` or two of
-  ``WEAK`` are examples of *block*, the others of *allow*. A multinomial model over the hashed
-  tokens of host and path then scores every URL, so that words that keep company with the lists'
-  words count as well.
+  stays whole, whatever its length. Words are letters and digits of any script; whole numbers are one token.
+* *Naive Bayes*: the verdicts of the rules are the labels. The different hosts and path words that a rule judged are
+  examples of its verdict, so that a rule's hosts teach what their words mean elsewhere; the
+  rules' own words (``com``, ``en``) are no features, as they would only repeat the rules. The words of the lists
+  are pseudo-counts of a class. What no rule judged takes part with the class probabilities
+  that the model gives it, in ``ROUNDS`` rounds of expectation-maximisation. Classes weigh the same and ``PRIOR``
+  says how rare *block* is; words that no example has say nothing.
 
 Word counts are exact: they stay a table, which is joined with the pieces of the different labels. A
 count-min sketch of a fixed size, which never counts too low, only tells which pieces need not be
@@ -18,8 +20,9 @@ looked up. The lists' words have half of all weight at least, however many words
 Bayes model has a fixed size (hashed buckets).
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is
-scored as an empty set of tokens; rows are judged one by one, repeated ones too; an empty table
-gives an empty table; columns other than id and URL are not read.
+scored as an empty set of tokens (*allow*); a score of 0 is *allow*; of equally long rules one that blocks decides; URLs of any length
+are read whole; rows are judged one by one, repeated ones too; an empty table
+gives an empty table; columns other than id and URL are not read, whatever their names are.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, table, written
@@ -45,9 +48,16 @@ COMMON = frozenset("the and for of to in on my your our best top online shop sto
 
 #: WIDTH is a power of two, so that signed and unsigned hashes have the same remainder.
 ROWS, WIDTH = 3, 1 << 16
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+#: Characters of the longest part that a label is split into.
 LONGEST = 24
 ALPHA = 0.05
+#: Pseudo-counts of the lists' words; log odds of *block* before anything is read.
+SEEDS = ((STRONG, 1, 2.0), (WEAK, 1, 0.3), (COMMON, 0, 1.0))
+PRIOR = math.log(0.1 / 0.9)
+#: Weight of what no rule judged, and rounds in which its classes are estimated.
+UNJUDGED = 0.2
+ROUNDS = 2
 #: Least weight of a word of the lists, and count from which another is known.
 LISTED = 50.0
 LEAST = 2
@@ -123,34 +133,38 @@ class Words:
         return tuple(reversed(out))
 
 
-_LETTERS = re.compile("[a-z]+").findall
+_LETTERS = re.compile(r"[^\W_]+").findall
 
 
-def tokens(names: list[str] | None, path: str) -> list[str]:
-    """Words of the host and, marked, of the path; whatever is not a letter parts them."""
-    return [*(names or ()), *("/" + w for w in _LETTERS(path.lower()))]
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits; a whole number is ``0``."""
+    return ["0" if w.isdecimal() else w for w in _LETTERS(text.lower())]
 
 
-def listed(found: list[str]) -> bool:
-    plain = {t.lstrip("/") for t in found}
-    return bool(plain & STRONG) or len(plain & WEAK) > 1
+def own_words(rules) -> frozenset[str]:
+    """The words that rules name."""
+    return frozenset(w for _, host, path in rules for w in words_of(f"{host} {path}"))
 
 
-def _host(url: str) -> Column:
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "(?s)^.*?://([^/?#]*)", 1), upper, lower).alias("host")
+def read_urls(pages: DataFrame, rules, key: str = "page_id", url: str = "url") -> DataFrame:
+    """Per page: page_id, host, path, labels (words of the host), words (of the path, parted by spaces), and the rule and its verdict."""
 
+    def run(batches):
+        found = Rules(rules)
+        for b in batches:
+            parts = [split_url(u) for u in b.column("u").to_pylist()]
+            fits = [found.find(*x) or (None, None) for x in parts]
+            yield {"page_id": b.column("k"), "host": [h for h, _ in parts], "path": [p for _, p in parts], "labels": [words_of(h) for h, _ in parts], "words": [" ".join(words_of(p)) for _, p in parts], "rule": [r for r, _ in fits], "verdict": [v for _, v in fits]}
 
-def _parts(pages: DataFrame, url: str) -> DataFrame:
-    u = F.coalesce(F.col(url), F.lit(""))
-    return pages.select(_host(url), F.regexp_replace(F.lower(F.regexp_extract(u, "(?s)^.*?://[^/?#]*([^?#]*)", 1)), "[^a-z]+", " ").alias("path"))
+    rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"))
+    return mapped(rows, run, f"page_id {pages.schema[key].dataType.simpleString()}, host string, path string, labels array<string>, words string, rule string, verdict string")
 
 
 def fit_words(kinds: DataFrame) -> tuple[Words, DataFrame]:
     """Counts (w, n) of path words from the different (host, path words), a word's hosts without
     those that hold it, and their sketch."""
-    paths = kinds.select("host", F.explode(F.array_distinct(F.split("path", " "))).alias("w"))
-    counted = written(paths.filter("w != '' AND NOT contains(host, w)").distinct().groupBy("w").agg(F.count("*").alias("n")), "words")
+    paths = kinds.select("host", F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
+    counted = written(paths.filter("w != '' AND w != '0' AND NOT contains(host, w)").distinct().groupBy("w").agg(F.count("*").alias("n")), "words")
     cells = counted.select("n", F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.pmod(F.xxhash64(F.concat(F.lit(str(r)), "w")), F.lit(WIDTH)).cast("int").alias("b")) for r in range(ROWS)))).alias("c"))
     got = cells.groupBy("c.r", "c.b").agg(F.sum("n").alias("n")).toArrow()  # at most ROWS * WIDTH
     counts = np.zeros((ROWS, WIDTH))
@@ -159,14 +173,14 @@ def fit_words(kinds: DataFrame) -> tuple[Words, DataFrame]:
     return Words(counts, float(counts[0].sum()) + weight * len(LISTS), weight), counted
 
 
-def host_words(kinds: DataFrame) -> DataFrame:
-    """(host, names): the words of each different host that has any, in order."""
+def split_names(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, names) and (words, path_names): the words of each different host and path, in order, their labels split."""
     words, counted = fit_words(kinds)
     shared = kinds.sparkSession.sparkContext.broadcast(words)
-    hosts = written(kinds.select("host").distinct(), "hosts")
-    placed = hosts.select("host", F.posexplode(F.split("host", "[^a-z]+")).alias("p", "label")).filter("label != ''")
+    of_hosts = kinds.select("host", "labels").distinct().select("host", F.posexplode("labels").alias("p", "label"))
+    of_paths = kinds.select("words").distinct().select("words", F.posexplode(F.split("words", " ")).alias("p", "label")).filter("label != ''")
     # Pieces go with a label's digest, as labels may be long.
-    labels = written(placed.select("label").distinct().withColumn("g", F.md5("label")), "labels")
+    labels = written(of_hosts.select("label").union(of_paths.select("label")).distinct().withColumn("g", F.md5("label")), "labels")
 
     def ask(batches):
         for b in batches:
@@ -182,66 +196,107 @@ def host_words(kinds: DataFrame) -> DataFrame:
     # Tables of their own before joins, so that Spark can split the joins' hot keys.
     found = written(mapped(labels, ask, "g string, w string"), "pieces").join(counted, "w").groupBy("g").agg(F.collect_list(F.struct("w", "n")).alias("found"))  # at most LONGEST for each letter
     parted = written(mapped(labels.join(found, "g", "left").select("label", "found"), split, "label string, names array<string>"), "segments")
-    named = placed.join(parted, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("p", "names"))).alias("e"))
-    return written(named.select("host", F.flatten("e.names").alias("names")), "host-words")
 
+    def named(of: DataFrame, key: str, name: str) -> DataFrame:
+        whole = of.join(parted, "label").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("p", "names"))).alias("e"))
+        return written(whole.select(key, F.flatten("e.names").alias(name)), name)
 
-@dataclass(frozen=True)
-class Bayes:
-    """Log odds of *block*: for no tokens, and for each bucket."""
+    return named(of_hosts, "host", "names"), named(of_paths, "words", "path_names")
 
-    prior: float
-    odds: np.ndarray
 
-    def score(self, found: list[str]) -> float:
-        return self.prior + sum(float(self.odds[_bucket(t)]) for t in found)
+_OWN = {w: BUCKETS + i for i, w in enumerate(sorted(LISTS))}
+SIZE = BUCKETS + len(_OWN)
 
 
 @lru_cache(maxsize=200_000)
 def _bucket(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token) % BUCKETS
+    """The lists' words have buckets of their own, so that no other word is taken for one."""
+    return _OWN[token] if token in _OWN else xxhash.xxh3_64_intdigest(token) % BUCKETS
 
 
-def fit_bayes(kinds: DataFrame, names: DataFrame) -> Bayes:
-    def run(batches):
-        for b in batches:
-            rows = list(map(tokens, b.column("names").to_pylist(), b.column("path").to_pylist()))
-            out = [(int(y), k) for t in rows for y in (listed(t),) for k in [-1, *map(_bucket, t)]]
-            yield {"y": [y for y, _ in out], "k": [k for _, k in out]}
-
-    got = mapped(kinds.join(names, "host", "left").select("names", "path"), run, "y int, k int").groupBy("y", "k").agg(F.count("*").alias("n")).toArrow()  # at most 2 * BUCKETS + 2
-    counts, rows = np.zeros((2, BUCKETS)), np.ones(2)
-    for y, k, n in zip(*(got[c].to_pylist() for c in ("y", "k", "n"))):
-        if k < 0:
-            rows[y] += n
-        else:
-            counts[y, k] += n
-    for w in STRONG:  # so that the lists count where no host has their words
-        counts[1, _bucket(w)] += 1
+@dataclass(frozen=True)
+class Bayes:
+    """Log odds of *block* for each bucket; ``ignored`` words are no features."""
+
+    odds: np.ndarray
+    ignored: frozenset[str] = frozenset()
+
+    def buckets(self, names: list[str] | None, path_names: list[str] | None) -> list[int]:
+        """Those of the words of host and path; a word is the same feature in both."""
+        return [_bucket(w) for w in (*(names or ()), *(path_names or ())) if w not in self.ignored]
+
+    def score(self, buckets: list[int]) -> float:
+        return PRIOR + float(self.odds[buckets].sum())
+
+
+def token_odds(counts: np.ndarray) -> np.ndarray:
+    """Log odds by bucket from the counts (allow, block) of examples, scaled to the same total, and the lists."""
+    total = counts.sum(1)
+    if total.all():
+        counts = counts * (total.min() / total)[:, None]
+    counts = counts.copy()
+    for words, y, n in SEEDS:
+        for w in words:
+            counts[y, _bucket(w)] += n
     size = max(1, np.count_nonzero(counts.sum(0)))
     logs = np.log(counts + ALPHA) - np.log(counts.sum(1, keepdims=True) + ALPHA * size)
-    odds = np.where(counts.sum(0) > 0, logs[1] - logs[0], 0.0)
-    return Bayes(float(np.log(rows[1] / rows[0])), odds)
+    return np.where(counts.sum(0) > 0, logs[1] - logs[0], 0.0)
+
+
+def fit_bayes(kinds: DataFrame, rules) -> Bayes:
+    """From rows (names, path_names, verdict), one for each different URL's words and verdict."""
+    ignored = own_words(rules)
+    context = kinds.sparkSession.sparkContext
+
+    def learned(model: Bayes | None) -> Bayes:
+        shared = context.broadcast(model or Bayes(np.zeros(SIZE), ignored))
+        judged_only = model is None
+
+        def run(batches):
+            bayes = shared.value
+            for b in batches:
+                sums = np.zeros((2, SIZE))
+                for names, paths, verdict in zip(*(b.column(c).to_pylist() for c in ("names", "path_names", "verdict"))):
+                    if verdict is None and judged_only:
+                        continue
+                    found = bayes.buckets(names, paths)
+                    if verdict is None:
+                        block = 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, bayes.score(found)))))
+                        both = (UNJUDGED * (1.0 - block), UNJUDGED * block)
+                    else:
+                        both = (float(verdict == "allow"), float(verdict == "block"))
+                    for y in (0, 1):
+                        np.add.at(sums[y], found, both[y])
+                used = np.flatnonzero(sums.sum(0))
+                yield {"k": used.tolist(), "allow": sums[0, used].tolist(), "block": sums[1, used].tolist()}
+
+        got = mapped(kinds, run, "k int, allow double, block double").groupBy("k").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).toArrow()  # at most SIZE rows
+        counts = np.zeros((2, SIZE))
+        counts[:, got["k"].to_numpy()] = np.stack([got["allow"].to_numpy(), got["block"].to_numpy()])
+        return Bayes(token_odds(counts), ignored)
+
+    model = learned(None)
+    for _ in range(ROUNDS):
+        model = learned(model)
+    return model
 
 
 def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """Per page: page_id, host, path, rule, verdict and, where the method decides, its log odds."""
-    kinds = written(_parts(pages, url).distinct(), "url-kinds")
-    names = host_words(kinds)
-    shared = pages.sparkSession.sparkContext.broadcast((Rules(rules), fit_bayes(kinds, names)))
+    urls = written(read_urls(pages, rules, key, url), "urls")
+    kinds = written(urls.select("host", "labels", "words", "verdict").distinct(), "url-kinds")
+    hosts, paths = split_names(kinds)
+    model = fit_bayes(written(kinds.join(hosts, "host", "left").join(paths, "words", "left").select("names", "path_names", "verdict"), "examples"), rules)
+    shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        rules, bayes = shared.value
+        bayes = shared.value
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("host", "path", "rule", "verdict", "score")}
-            for (host, path), own in zip(map(split_url, b.column("u").to_pylist()), b.column("names").to_pylist()):
-                found = rules.find(host, path)
-                score = None if found else bayes.score(tokens(own, path))
-                for c, v in (("host", host), ("path", path), ("rule", found and found[0]), ("verdict", found[1] if found else "block" if score > 0 else "allow"), ("score", score)):
-                    out[c].append(v)
-            yield {"page_id": b.column("k"), **out}
-
-    rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), _host(url)).join(names, "host", "left").select("k", "u", "names")
+            scores = [None if verdict else bayes.score(bayes.buckets(names, found)) for names, found, verdict in zip(*(b.column(c).to_pylist() for c in ("names", "path_names", "verdict")))]
+            verdicts = [verdict or ("block" if score > 0 else "allow") for verdict, score in zip(b.column("verdict").to_pylist(), scores)]
+            yield {**{c: b.column(c) for c in ("page_id", "host", "path", "rule")}, "verdict": verdicts, "score": scores}
+
+    rows = urls.join(hosts, "host", "left").join(paths, "words", "left").select("page_id", "host", "path", "rule", "verdict", "names", "path_names")
     return mapped(rows, run, f"page_id {pages.schema[key].dataType.simpleString()}, host string, path string, rule string, verdict string, score double")
 
 

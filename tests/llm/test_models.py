@@ -225,23 +225,64 @@ def test_hosts_do_not_vouch_for_their_own_labels(spark):
 
 def test_many_words_do_not_make_a_label_known(spark):
     letters = F.translate(F.hex(F.col("page_id") * 20 + F.lit(1 << 24) + F.col("x")), "0123456789ABCDEF", "abcdefghijklmnop")
-    many = spark.range(10_000).withColumnRenamed("id", "page_id").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(19)))).groupBy("page_id").agg(F.array_join(F.collect_list(letters), "/").alias("w"))
+    many = spark.range(2_000).withColumnRenamed("id", "page_id").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(19)))).groupBy("page_id").agg(F.array_join(F.collect_list(letters), "/").alias("w"))
     names = [f"http://{sub}{label}.example.org/fr/" for label in ("freecasino", "quietname") for sub in ("", "www.", "m.", "blog.")]
     pages = spark.createDataFrame([(-1 - i, u) for i, u in enumerate(names)], "page_id long, url string")
-    kinds = url_filters._parts(pages.union(many.select("page_id", F.concat(F.lit("http://h"), "page_id", F.lit(".example.org/fr/"), "w"))), "url")
-    got = {r["host"]: r["names"] for r in url_filters.host_words(kinds).collect()}
+    kinds = url_filters.read_urls(pages.union(many.select("page_id", F.concat(F.lit("http://h"), "page_id", F.lit(".example.org/fr/"), "w"))), url_filters.RULES)
+    got = {r["host"]: r["names"] for r in url_filters.split_names(kinds)[0].collect()}
     assert got["www.freecasino.example.org"][1:3] == ["free", "casino"] and got["m.quietname.example.org"][1] == "quietname"
     pages = pages.union(many.limit(500).select("page_id", F.concat(F.lit("http://h"), "page_id", F.lit(".example.org/fr/"), "w")))
     assert sum(r["verdict"] == "block" for r in url_filters.judge(pages).collect()) == 4
 
 
 def test_url_query_covers_all_pages(spark):
-    rows = url_filters.op5_url_filters(spark, SMALL).collect()
-    assert len(rows) == 250
-    for r in rows:
-        if r["rule"] is None:
-            spam = any(w in r["host"] for w in ("casino", "bets", "pills", "ads-track", "spam", "adult"))
-            assert (r["verdict"] == "block") == spam, r["host"]
+    """Hosts, paths and rules as SQL finds them, and an own plain choice of the rule."""
+    import duckdb
+
+    rows = {r["page_id"]: r for r in url_filters.op5_url_filters(spark, SMALL).collect()}
+    want = duckdb.sql(rf"""
+        WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM '{SMALL}/pages.parquet'),
+        r(v, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/'))
+        SELECT page_id, host, path, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict
+        FROM u LEFT JOIN r ON ((host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) GROUP BY ALL""").fetchall()
+    assert len(rows) == len(want) == 250
+    for page, host, path, rule, verdict in want:
+        r = rows[page]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and (verdict is None or r["verdict"] == verdict)
+        assert (r["score"] is None) == (rule is not None)
+        assert rule is not None or r["verdict"] == ("block" if r["score"] > 0 else "allow")
+
+
+def test_rules_teach_words_that_no_list_has(spark):
+    """Hosts whose concatenated words the rules' verdicts have taught, on hosts, and under paths, that no rule judges."""
+    bad, good = ["zorbix", "quandle", "vimmo", "kraspel"], ["lindum", "paverno", "siltra", "ombeka"]
+    urls = [f"http://plain{k}.example.net/fr/{w}" for k in range(4) for w in bad + good]  # what makes them words
+    urls += [f"http://{a}{b}.shop{i}.com/en/{i}" for i, (a, b) in enumerate((a, b) for a in bad[:3] for b in bad[:3])]
+    urls += [f"http://{a}{b}.shop{i}.net/de/{i}" for i, (a, b) in enumerate((a, b) for a in good[:3] for b in good[:3])]
+    new = [(f"http://{bad[0]}{bad[2]}.new.org/fr/1", "block"), (f"http://x.org/fr/{bad[1]}{bad[0]}{bad[1]}", "block"), (f"http://{good[1]}{good[2]}.new.org/fr/1", "allow"), ("http://neverseen.org/fr/1", "allow")]
+    pages = spark.createDataFrame(list(enumerate(urls + [u for u, _ in new])), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages).collect()}
+    assert [got[len(urls) + i] for i in range(len(new))] == [v for _, v in new]
+    assert all(set(url_filters.words_of(u)).isdisjoint(url_filters.LISTS) for u, v in new if v == "block" and ".org/fr/1" in u)
+
+
+def test_odds_equal_plain_counts():
+    """Two buckets of examples, by hand."""
+    counts = np.zeros((2, url_filters.SIZE))
+    one, two = url_filters._bucket("wordone"), url_filters._bucket("wordtwo")
+    counts[0, one], counts[0, two], counts[1, two] = 30, 10, 4
+    odds = url_filters.token_odds(counts)
+    seeds = {y: sum(n * len(w) for w, k, n in url_filters.SEEDS if k == y) for y in (0, 1)}
+    size = len({url_filters._bucket(w) for w in url_filters.LISTS} | {one, two})
+    p = lambda n, y: np.log((n + url_filters.ALPHA) / (4 + seeds[y] + url_filters.ALPHA * size))
+    assert odds[one] == pytest.approx(p(0, 1) - p(3, 0)) and odds[two] == pytest.approx(p(4, 1) - p(1, 0))
+
+
+def test_long_and_odd_urls(spark):
+    urls = ["http://" + "casino" * 3000 + ".org/fr/" + "x" * 50_000, "http://пример.рф/путь/" + "казино" * 10, "http://1.2.3.4/a1b2/99", "http://a.org/" + "w/" * 20_000]
+    rows = {r["page_id"]: r for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert rows[0]["verdict"] == "block" and {rows[i]["verdict"] for i in (1, 2, 3)} == {"allow"}
+    assert url_filters.words_of("/a1b2/99") == ["a1b2", "0"] and rows[1]["host"] == "пример.рф"
 
 
 def test_segmentation():
