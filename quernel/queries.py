@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import io
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import repl
 from .operators import relational as ops
+from .plans.planner import plan
 from .plans.statistics import Statistics, collect
+from .plans.syntax import parse_sql
 from .session import Session
 from .sources import text
+from .sources.catalog import schema_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,10 +57,11 @@ dialect("project_reorder", "SELECT n_regionkey, n_name, n_nationkey FROM nation
 dialect("distinct_one", "SELECT DISTINCT l_suppkey FROM lineitem AS l WHERE (l_extendedprice < 2000.0);", "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_extendedprice < 2000")
 dialect("distinct_multi", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem AS l WHERE (l_orderkey > 0);", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem WHERE l_orderkey > 0")
 dialect("sum_double", "SELECT SUM(s.s_acctbal) FROM supplier AS s WHERE (s.s_suppkey = s.s_suppkey);", "SELECT round(sum(s_acctbal), 2) AS sum FROM supplier", rounded())
-dialect("sum_int", "SELECT SUM(l_linenumber) FROM lineitem AS l WHERE (l_orderkey < 1000);", "SELECT CAST(coalesce(sum(l_linenumber), 0) AS BIGINT) AS sum FROM lineitem WHERE l_orderkey < 1000")
+dialect("sum_int", "SELECT SUM(l_linenumber) FROM lineitem AS l WHERE (l_orderkey > -1);", "SELECT CAST(coalesce(sum(l_linenumber), 0) AS BIGINT) AS sum FROM lineitem WHERE l_orderkey > -1")
 dialect("sum_expr_right_assoc", "SELECT SUM(l_quantity * l_discount + l_tax) FROM lineitem AS l WHERE (l_orderkey > 0);", "SELECT round(sum(l_quantity * (l_discount + l_tax)), 2) AS sum FROM lineitem WHERE l_orderkey > 0", rounded())
 dialect("sum_expr_unary_minus", "SELECT SUM(-l_quantity + l_tax) FROM lineitem AS l WHERE (l_orderkey > 0);", "SELECT round(sum(-(l_quantity + l_tax)), 2) AS sum FROM lineitem WHERE l_orderkey > 0", rounded())
 dialect("sum_int_minus", "SELECT SUM(-(l_partkey - l_linenumber)) FROM lineitem AS l WHERE (l_orderkey > 0);", "SELECT CAST(sum(-(l_partkey - l_linenumber)) AS BIGINT) AS sum FROM lineitem WHERE l_orderkey > 0")
+dialect("sum_int_add", "SELECT SUM(l_linenumber + l_partkey) FROM lineitem AS l WHERE (l_orderkey > 0);", "SELECT CAST(sum(l_linenumber + l_partkey) AS BIGINT) AS sum FROM lineitem WHERE l_orderkey > 0")
 dialect("sum_int_multiply", "SELECT SUM(l_linenumber * l_linenumber - 1) FROM lineitem AS l WHERE (l_orderkey > 0);", "SELECT CAST(sum(l_linenumber * (l_linenumber - 1)) AS BIGINT) AS sum FROM lineitem WHERE l_orderkey > 0")
 dialect("sum_double_divide", "SELECT SUM(l_extendedprice / l_quantity) FROM lineitem AS l WHERE (l_orderkey > 0);", "SELECT round(sum(l_extendedprice / l_quantity), 2) AS sum FROM lineitem WHERE l_orderkey > 0", rounded())
 dialect("sum_int_division", "SELECT SUM(l_partkey / l_linenumber) FROM lineitem AS l WHERE (l_orderkey > 0);", "SELECT CAST(sum(l_partkey // l_linenumber) AS BIGINT) AS sum FROM lineitem WHERE l_orderkey > 0")
@@ -92,7 +99,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _place(spark: SparkSession) -> str:
     """A new folder that the driver and the executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='quernel-')}"
+    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='quernel-')}"
     return f"{shared.rstrip('/')}/text-{uuid.uuid4().hex}"
 
 
@@ -188,6 +199,133 @@ def set_output_file(spark, folder):
     return spark.read.text(path).toDF("line")
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """The rows with their places, so that their order shows."""
+    return df.withColumn("__id", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("__id")).cast("long")).drop("__id")
+
+
+@query("SELECT row_number() OVER (ORDER BY s_suppkey, s_nationkey, s_acctbal, s_name) AS place, s_suppkey, s_name FROM supplier")
+def sort_all_attributes_order(spark, folder):
+    return _numbered(ops.sort(_table(spark, folder, "supplier"))).select("place", "s_suppkey", "s_name")
+
+
+@query("SELECT row_number() OVER (ORDER BY s_nationkey DESC, s_suppkey DESC) AS place, s_nationkey, s_suppkey FROM supplier")
+def sort_descending(spark, folder):
+    return _numbered(ops.sort(_table(spark, folder, "supplier"), ["s_nationkey", "s_suppkey"], ascending=False)).select("place", "s_nationkey", "s_suppkey")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS place, c_custkey FROM customer")
+def sort_by_cnf_order_places(spark, folder):
+    order = ops.order_from_cnf("(c_mktsegment = c_mktsegment) AND (c_custkey = c_custkey)")
+    return _numbered(ops.sort(_table(spark, folder, "customer"), order)).select("place", "c_custkey")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_nationkey > 7")
+def text_catalog(spark, folder):
+    """A text catalog names a delimited file and its columns; a session reads both."""
+    path = _place(spark)
+    text.write_out(_table(spark, folder, "nation"), f"{path}/nation.tbl")
+    lines = "BEGIN\nnation_text\nnation.tbl\nn_nationkey Int\nn_name String\nn_regionkey Int\nEND"
+    spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(f"{path}/catalog")
+    session = Session(spark)
+    session.use_catalog(f"{path}/catalog", path)
+    return session.select("SELECT n_nationkey, n_name FROM nation_text AS n WHERE (n_nationkey > 7);")
+
+
+#: Lines of whole numbers, of up to and beyond 64 bits.
+LONG_INTEGERS = ("9223372036854775807|a|", "-9223372036854775808|b|", "1234567890123456789|c|", "99999999999999999999|d|", "-99999999999999999999x|e|", "12.7|f|", "|g|", "x|h|")
+
+
+@query("SELECT * FROM (VALUES (9223372036854775807, 'a'), (-9223372036854775808, 'b'), (1234567890123456789, 'c'), (9223372036854775807, 'd'), (-9223372036854775808, 'e'), (12, 'f'), (0, 'g'), (0, 'h')) t(n, s)")
+def compose_long_integers(spark, folder):
+    return text.compose(spark, schema_of([("n", "INTEGER"), ("s", "STRING")]), list(LONG_INTEGERS))
+
+
+@query("SELECT * FROM (VALUES (9223372036854775807, 'a'), (-9223372036854775808, 'b'), (1234567890123456789, 'c'), (9223372036854775807, 'd'), (-9223372036854775808, 'e'), (12, 'f'), (0, 'g'), (0, 'h')) t(n, s)")
+def insert_long_integers(spark, folder):
+    path = _place(spark)
+    spark.createDataFrame([(x,) for x in LONG_INTEGERS], "value string").write.text(path)
+    session = Session(spark)
+    session.execute("CREATE TABLE numbers (n INTEGER, s STRING) AS SORTED ON (n);")
+    session.execute(f"INSERT '{path}' INTO numbers;")
+    return session.select("SELECT n, s FROM numbers AS m WHERE (n = n);")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, 'n_regionkey,n_nationkey' AS sort_on FROM nation WHERE n_regionkey = 3 UNION ALL SELECT n_nationkey, n_name, 'n_regionkey,n_nationkey' FROM nation WHERE n_regionkey = 3")
+def reopened_table(spark, folder):
+    """A sorted table, filled twice, that another session finds with its order."""
+    home = _place(spark)
+    first = Session.of(spark, folder, home)
+    first.execute("CREATE TABLE kept (n_nationkey INTEGER, n_name STRING, n_regionkey INTEGER) AS SORTED ON (n_regionkey, n_nationkey);")
+    for _ in range(2):
+        first.catalog.append("kept", _table(spark, folder, "nation"))
+    second = Session.of(spark, folder, home)
+    order = ",".join(second.catalog.tables["kept"].sort_on)
+    return ops.seek(second.catalog.get("kept"), n_regionkey=3).select("n_nationkey", "n_name", F.lit(order).alias("sort_on"))
+
+
+def _told(spark, folder, *statements: str) -> DataFrame:
+    """What the statements say, errors too, line by line."""
+    out = io.StringIO()
+    repl.run(Session.of(spark, folder), io.StringIO("\n".join(statements)), out)
+    lines = [re.sub(r"^\(\d+\.\d\d secs\)$", "(time)", x) for x in out.getvalue().splitlines()]
+    return spark.createDataFrame(list(enumerate(lines)), "place long, line string")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'created t'), (1, '(time)'), (2, 'dropped t'), (3, '(time)'), (4, 'error: no table t'), (5, 'error: tree tables')) t(place, line)")
+def drop_table_and_tree_error(spark, folder):
+    return _told(spark, folder, "CREATE TABLE t (a INTEGER) AS HEAP;", "DROP TABLE t;", "SELECT a FROM t AS x WHERE (a = a);", "CREATE TABLE u (a INTEGER) AS TREE;")
+
+
+@query("SELECT row_number() OVER (ORDER BY o, r_regionkey) - 1 AS place, line FROM (SELECT 0 AS o, 0 AS r_regionkey, 'PROJECT r_regionkey, r_name' AS line UNION ALL SELECT 1, 0, '  SCAN region AS r (r_regionkey > 1)' UNION ALL SELECT 2, r_regionkey, printf('%d|%s|', r_regionkey, r_name) FROM region WHERE r_regionkey > 1 UNION ALL SELECT 3, 0, 'OK, 3 rows returned' UNION ALL SELECT 4, 0, '(time)')")
+def read_and_print(spark, folder):
+    """Statements from a stream: the plan, the rows and the time."""
+    return _told(spark, folder, "SELECT r_regionkey, r_name FROM region AS r", "WHERE (r_regionkey > 1);")
+
+
+@query("SELECT count(*) AS n_lines, true AS names_all FROM (SELECT unnest(range(7)))")
+def help_text(spark, folder):
+    lines = Session(spark).execute("help;").message.splitlines()
+    names = all(any(w in x for x in lines) for w in ("SELECT", "CREATE TABLE", "INSERT", "DROP TABLE", "SET OUTPUT", "UPDATE STATISTICS", "help"))
+    return spark.createDataFrame([(len(lines), names)], "n_lines long, names_all boolean")
+
+
+@query("SELECT printf('s_suppkey: [%d], s_acctbal: [%.6f]', s_suppkey, s_acctbal) AS line FROM supplier WHERE s_suppkey < 4")
+def pretty_rows(spark, folder):
+    df = ops.project(ops.select_file(_table(spark, folder, "supplier"), "(s_suppkey < 4)"), ["s_suppkey", "s_acctbal"])
+    return spark.createDataFrame([(text.pretty(r, df.schema),) for r in df.collect()], "line string")
+
+
+_PRINTED = "SELECT SUM(n.n_nationkey * 2 + 1) FROM nation AS n, region AS r WHERE (n.n_regionkey = r.r_regionkey) AND (r.r_name = 'ASIA' OR n.n_nationkey < 3) GROUP BY r.r_name;"
+
+
+@query("SELECT * FROM (VALUES ('plan', 0::BIGINT, 'SUM n.n_nationkey * (2 + 1) GROUP BY r.r_name'), ('plan', 1, '  JOIN (n.n_regionkey = r.r_regionkey) AND (r.r_name = ''ASIA'' OR n.n_nationkey < 3)'), ('plan', 2, '    SCAN nation AS n'), ('plan', 3, '    SCAN region AS r'), ('where', 0, '(n.n_regionkey = r.r_regionkey)'), ('where', 1, '(r.r_name = ''ASIA'' OR n.n_nationkey < 3)')) t(part, place, line)")
+def print_plan_and_tree(spark, folder):
+    session, tree = Session.of(spark, folder), parse_sql(_PRINTED)
+    made = plan(tree, session.catalog).describe().replace("(n.n_nationkey * (2 + 1))", "n.n_nationkey * (2 + 1)")
+    rows = [("plan", i, x) for i, x in enumerate(made.splitlines())]
+    return spark.createDataFrame(rows + [("where", i, "(" + " OR ".join(map(repr, p)) + ")") for i, p in enumerate(tree.where)], "part string, place long, line string")
+
+
+@query("SELECT * FROM (VALUES ('size', 1000.0::DOUBLE), ('no predicate', 100000.0), ('unknown attribute', -1.0), ('one relation, no predicate', -1.0), ('not joined', -1.0), ('copy, joined', 10000.0), ('copied from, unchanged', 1000.0), ('written and read', 10000.0), ('printed lines', 2.0)) t(case_name, value)")
+def stats_forms(spark, folder):
+    s = Statistics()
+    for r, n in (("a", 1000), ("b", 100)):
+        s.add_relation(r, n)
+        s.add_attribute(r, f"{r}x", 10)
+    joined = s.copy()
+    joined.apply("(ax = bx)", ["a", "b"])
+    with tempfile.TemporaryDirectory() as place:  # a file of the driver's, written and read here
+        joined.write(f"{place}/statistics")
+        again = Statistics.read(f"{place}/statistics")
+    rows = [
+        ("size", s.relation_size("a")), ("no predicate", s.estimate("", ["a", "b"])), ("unknown attribute", s.estimate("(zz = 1)", ["a"])),
+        ("one relation, no predicate", s.estimate("", ["a"])), ("not joined", s.estimate("(ax = 1)", ["a", "b"])), ("copy, joined", joined.relation_size("b")),
+        ("copied from, unchanged", s.relation_size("a")), ("written and read", again.relation_size("a")), ("printed lines", float(len(repr(s).splitlines()))),
+    ]
+    return spark.createDataFrame([(c, float(v)) for c, v in rows], "case_name string, value double")
+
+
 #: Fixed values, cases of the estimator: (relations with rows and distinct values, copies, [(predicate, relations)]); the last predicate is estimated.
 GOLDEN = {
     "q0": ({"supplier": (10000, {"s_suppkey": 10000}), "partsupp": (800000, {"ps_suppkey": 10000})}, {}, [("(s_suppkey = ps_suppkey)", "supplier partsupp")]),

@@ -118,3 +118,22 @@ def test_tree_tables_and_unknown_types(spark, folder):
 def test_plans_are_shown_as_trees(spark, folder):
     plan = Session.of(spark, folder).execute("SELECT SUM(l.l_quantity) FROM orders AS o, lineitem AS l, region AS r WHERE (o.o_orderkey = l.l_orderkey);").plan
     assert plan.split("\n") == ["SUM l.l_quantity", "  PRODUCT", "    JOIN (o.o_orderkey = l.l_orderkey)", "      SCAN orders AS o", "      SCAN lineitem AS l", "    SCAN region AS r"]
+
+
+def test_sorted_inserts_add_parts_and_merge_them(spark, folder, tmp_path, monkeypatch):
+    from quernel.session import Session
+    from quernel.sources import catalog
+
+    monkeypatch.setattr(catalog, "RUNS", 3)
+    home = str(tmp_path / "home")
+    session = Session(spark, home)
+    session.execute("CREATE TABLE t (a INTEGER, b STRING) AS SORTED ON (a);")
+    sizes = []
+    for i in range(5):
+        session.catalog.append("t", spark.createDataFrame([(k, f"x{i}") for k in range(i, 20, 3)], "a long, b string"))
+        sizes.append(len(session.catalog.tables["t"].parts))
+    assert sizes == [1, 2, 3, 1, 2]
+    again = Session(spark, home).catalog.get("t")
+    assert sorted(map(tuple, again.collect())) == sorted((k, f"x{i}") for i in range(5) for k in range(i, 20, 3))
+    session.execute("DROP TABLE t;")
+    assert "t" not in Session(spark, home).catalog
