@@ -10,9 +10,11 @@ Training takes at most ``TRAINING_ROWS`` labelled rows, those of the smallest ha
 dealt into groups of about ``SHARD_ROWS``; each group runs the updates on its own and the weights are
 averaged. The model has a fixed size.
 
-Defined results: null and empty texts have no features and score as the intercept does;
-labels other than 0 and 1 and null labels or ids are not learned from; without labelled rows
-every score is 0.5; rows are scored one by one; columns other than id and text are not read.
+Defined results: null and empty texts have no features and score as the intercept does; texts of any length
+are read whole; labels other than 0 and 1 and null labels or ids are not learned from; of different labels of
+one id the larger counts, and every row of a labelled id is learned from; without labelled rows
+every score is 0.5; an empty table gives an empty table; rows are scored one by one; columns other than id and text are
+not read, whatever their names are.
 """
 
 from __future__ import annotations

@@ -33,6 +33,24 @@ def test_stages(spark, folder):
         assert got[i]["n_tokens"] == len(coder.encode(t)) and got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_edges_of_the_stages(spark, folder, tmp_path):
+    """Nulls, empty and repeated rows, copies, a benchmark passage, extra columns of clashing names, and no rows."""
+    words = [f"{a}{b}rd" for a in "bcdfghjklm" for b in ("a", "e", "i", "o", "u", "ay", "oo")]
+    text = lambda k: " ".join(words[(i * k + k) % 67] + words[(i + k) % 61] for i in range(60))
+    item = " ".join(f"passage{i}x" for i in "abcdefghijkl")
+    rows = [(1, None), (2, ""), (3, " \n "), (4, text(3)), (4, text(3)), (5, text(3) + " end"), (None, text(5)), (6, text(7) + " " + item), (7, text(11)), (8, (text(13) + "\n") + "long " * 3 + " ".join("w" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(50_000)))]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, k1 string, n_words int")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        empty = corpus_pipeline.written(stage(spark, empty, str(tmp_path)), name)
+        assert empty.count() == 0
+        if name != "bpe":
+            assert docs.columns == ["doc_id", "text", "k1", "n_words"]
+    assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 4, 4, 7, 8]
+
+
 def test_registered_queries():
     import __spark_entry__
 
