@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's ``docs``; all but the last return the columns of ``documents``.
+
+Defined results: documents of null, empty or blank text have no words and go in the first stage; texts of
+any length are read whole; null ids are no copies of anything and stay if nothing else is wrong with them; rows of one id
+are judged one by one, but by near-duplicates as one document, so all of them stay or go; of near copies
+the smallest id stays, of recurring lines those of the smallest id; extra columns pass through all stages but the
+last; an empty table gives an empty table.
 """
 
 from __future__ import annotations
