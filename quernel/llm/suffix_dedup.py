@@ -18,7 +18,8 @@ and the part right of it that any such string must have, its core, is the same t
    strings: strings of which the anchor is the o-th byte are looked for in parts of the range
    of o, from a to b; contexts that can share one agree in a bytes to the left and ``LENGTH`` - b to
    the right, so these name the part's groups. Contexts that agree in all that the part can reach
-   are settled and one of them goes on. Parts of what is still too large are parted again; a
+   are settled and one of them goes on, with the b - a bytes on either side that the part can reach
+   beyond what its group has in common. Parts of what is still too large are parted again; a
    range of one o leaves nothing to sort.
 
 With ``passage`` the same sorted suffixes also show repeats of that many bytes, fewer than
@@ -302,23 +303,25 @@ def _contexts(named: DataFrame, asked: DataFrame, reach: Reach) -> DataFrame:
 _RANGES = "k1 long, k2 long, start int, end int"
 
 
-def _sorted_groups(contexts: DataFrame, least: int) -> DataFrame:
-    """Repeats (k1, k2, start, end) of ``least`` bytes or more around single anchors, by sorting the
-    contexts of each group: rows (g1, g2, shared, k1, k2, at, single, l, r), of which all of a
-    group agree for ``shared`` bytes right of the anchor."""
+def _sorted_groups(contexts: DataFrame) -> DataFrame:
+    """Repeats (k1, k2, start, end) around single anchors, by sorting the contexts of each group: rows
+    (g1, g2, shared, least, k1, k2, start, end, single, l, r). From start to end all of a group are
+    equal, l and r are what lies left and right of that, r of all agrees in its first ``shared``
+    bytes, and ``least`` bytes of l and r together make a repeat."""
 
     def solve(group: list[tuple]) -> list[tuple]:
-        group = list({g[1:4]: g for g in group}.values())
+        group = list({g[2:5]: g for g in group}.values())
         if len(group) < 2:
             return []
-        found = repeats([g[5] for g in group], [g[6] for g in group], least, group[0][0])
-        return [(g[1], g[2], g[3] - l, g[3] + r) for g, pairs in zip(group, found) if g[4] for l, r in pairs]
+        shared, least = group[0][:2]
+        found = repeats([g[7] for g in group], [g[8] for g in group], least, shared)
+        return [(k1, k2, start - l, end + r) for (_, _, k1, k2, start, end, single, _, _), pairs in zip(group, found) if single for l, r in pairs]
 
     def run(batches):
         at, group = None, []
         for b in batches:
             out = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("g1", "g2", "shared", "k1", "k2", "at", "single", "l", "r"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("g1", "g2", "shared", "least", "k1", "k2", "start", "end", "single", "l", "r"))):
                 if row[:2] != at:
                     out += solve(group)
                     at, group = row[:2], []
@@ -354,7 +357,12 @@ def _parted(contexts: DataFrame, reach: Reach, least: int, group: int) -> list[D
             sizes = written(alike.groupBy("g1", "g2").agg(F.count("*").alias("m"), F.max("open").alias("open")).filter("m > 1 AND open").select("g1", "g2", "m"), "sizes")
             firsts = written(alike.join(sizes, ["g1", "g2"]).select("g1", "g2", "first.*", alike["open"].alias("single"), "m"), "firsts")
             rows = firsts.join(contexts.select("k1", "k2", "at", "l", "r"), ["k1", "k2", "at"])
-            found.append(written(settled.union(_sorted_groups(rows.filter(F.col("m") <= group), least)), "ranges"))
+            # All of a group agree in lo bytes to the left and ``shared`` to the right: only what a string can reach beyond is sorted.
+            beyond = rows.filter(F.col("m") <= group).select(
+                "g1", "g2", F.lit(0).alias("shared"), F.expr("hi - lo").alias("least"), "k1", "k2", F.expr("at - lo").alias("start"), F.expr("at + shared").alias("end"), "single",
+                F.expr("substring(l, lo + 1, hi - lo)").alias("l"), F.expr("substring(r, shared + 1, hi - lo)").alias("r"),
+            )
+            found.append(written(settled.union(_sorted_groups(beyond)), "ranges"))
         # What goes on is made of ``firsts`` alone.
         erase(contexts.sparkSession, [*spent, *made[:3]])
         spent = made[3:4]
@@ -376,9 +384,10 @@ def repeated(named: DataFrame, reach: Reach, group: int = GROUP) -> DataFrame:
     asked = written(contexts.join(open_cores, "core").select("core", "n", "place.k1", "place.k2", "place.at", (~F.col("settled")).alias("single")), "asked")
 
     def bytes_of(some: DataFrame) -> DataFrame:
-        return _contexts(named, some, reach).select(F.col("core").alias("g1"), F.col("core").alias("g2"), F.lit(reach.core).alias("shared"), "k1", "k2", "at", "single", "l", "r")
+        return _contexts(named, some, reach).select(F.col("core").alias("g1"), F.col("core").alias("g2"), "k1", "k2", "at", "single", "l", "r")
 
-    parts = [_sorted_groups(bytes_of(asked.filter(F.col("n") <= group)), reach.least)]
+    few = bytes_of(asked.filter(F.col("n") <= group))
+    parts = [_sorted_groups(few.withColumns({"shared": F.lit(reach.core), "least": F.lit(reach.least), "start": F.col("at"), "end": F.col("at")}))]
     many = asked.filter(F.col("n") > group)
     if not many.isEmpty():
         hot = written(bytes_of(many), "hot")
