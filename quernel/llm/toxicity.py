@@ -2,7 +2,7 @@
 
 A text is split into clauses, and a clause into words. A lexical transducer reads words and
 writes classes: insult (a fixed list, and word forms learned from labels), threat, target (words for a person), negation,
-reporting verb or other; phrases of several words are paths through it, beside the words' own. Three
+reporting verb, member of a family (an insult or other, see below) or other; phrases of several words are paths through it, beside the words' own. Three
 transducers over classes are composed with each other (``compose``) and with it:
 
 * *negation* marks insults and threats among the ``SCOPE`` words after a negation,
@@ -19,7 +19,9 @@ Learned from at most ``TRAINING_ROWS`` labelled rows, those of the smallest hash
 
 * insult forms, whole words or beginnings of 4 to 8 letters: those for which the texts that
   hold them are toxic far more often than texts are on the whole (a binomial tail bound
-  over all forms that occur). Confirmed near copies of the same label count once there.
+  over all forms that occur). A beginning is also looked at as a family: then its words count only in
+  texts with two or more different ones of them, and one among ``APART`` words or more, so that a long text
+  does not gather them by chance. Confirmed near copies of the same label count once there.
 * the patterns' weights, by logistic regression with a normal prior around the grammar's own.
 
 Defined results: null and empty texts match nothing and score as the intercept does; texts of any
@@ -55,6 +57,8 @@ LEAST_LIFT = 0.95
 #: Texts that must hold a form for it to be looked at, and the lengths of beginnings.
 LEAST_TEXTS = 4
 LENGTHS = (4, 5, 6, 7, 8)
+#: Words of a text for each that begins as its family does, at most.
+APART = 400
 
 INSULTS = frozenset("idiot moron stupid loser scum trash worthless pathetic disgusting clown imbecile dumb jerk bastard coward parasite vermin idiote crétin imbécile connard salaud ordure dummkopf arschloch trottel abschaum versager idiota estúpido imbécil basura escoria".split())
 THREATS = frozenset("kill hurt destroy beat stab shoot burn punish crush tuer frapper détruire töten schlagen vernichten umbringen matar golpear destruir".split())
@@ -64,8 +68,8 @@ REPORTS = frozenset("said says say called calls claimed claims wrote writes quot
 
 PHRASES = {"piece of trash": "I", "waste of space": "I", "go to hell": "I", "shut up": "I", "drop dead": "I", "going to get": "T", "will find": "T"}
 
-#: Classes: insult, learned insult, threat; target, negation, report, other.
-LOUD, QUIET = ("I", "F", "T"), ("Y", "N", "R", "W")
+#: Classes: insult, learned insult, threat; target, negation, report, member of a family that isn't met, other.
+LOUD, QUIET = ("I", "F", "T"), ("Y", "N", "R", "G", "W")
 #: Words after a negation that it marks, and words between a target and what is aimed at it.
 SCOPE = 4
 REACH = 6
@@ -203,7 +207,13 @@ class Grammar:
         for kind, words in (("T", THREATS), ("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)):
             if word in words:
                 return kind
-        return "W"
+        return "G" if self.learned and any(word[:n] + "**" in self.learned for n in LENGTHS) else "W"
+
+    def gathered(self, words: Counter, known: dict[str, str]) -> set[str]:
+        """Words of those families (class G) that are met in a text of these words."""
+        alike = {w: [w[:n] for n in LENGTHS if len(w) >= n and w[:n] + "**" in self.learned] for w in words if self._symbol(w, known) == "G"}
+        met = families(words, alike) if alike else set()
+        return {w for w, beginnings in alike.items() if not met.isdisjoint(beginnings)}
 
     def lexical(self, state: int, word: str, known: dict[str, str]) -> list[tuple[str, int]]:
         """Arcs (class, next state) of the lexical transducer: the word's own, and those of phrases."""
@@ -232,7 +242,11 @@ class Grammar:
         """How many clauses have each pattern. ``known`` remembers the classes of words."""
         found: Counter = Counter()
         text = (text or "").lower()
-        loud = {w for w in set(_WORDS(text)) if self._symbol(w, known) in LOUD or w in MARKS}
+        counts = Counter(_WORDS(text))
+        loud = {w for w in counts if self._symbol(w, known) in LOUD or w in MARKS}
+        if gathered := self.gathered(counts, known):
+            loud |= gathered
+            known = {w: self._symbol(w, known) for w in counts} | dict.fromkeys(gathered, "F")
         if not loud:
             return found
         for clause in _CLAUSES(text):
@@ -252,11 +266,21 @@ class Grammar:
         return symbol
 
 
-def forms(words: set[str]) -> set[str]:
-    out = {w for w in words if len(w) >= 3}
-    for n in LENGTHS:
-        out |= {w[:n] + "*" for w in words if len(w) >= n}
-    return out
+def families(words: Counter, beginnings: dict[str, list[str]]) -> set[str]:
+    """Beginnings of two or more different words that are one in ``APART`` words or more."""
+    kinds, rows = Counter(), Counter()
+    for w, of in beginnings.items():
+        for b in of:
+            kinds[b] += 1
+            rows[b] += words[w]
+    total = words.total()
+    return {b for b, k in kinds.items() if k >= 2 and rows[b] * APART >= total}
+
+
+def forms(words: Counter) -> set[str]:
+    """Words, beginnings (``abcd*``) and families (``abcd**``) of a text."""
+    beginnings = {w: [w[:n] for n in LENGTHS if len(w) >= n] for w in words}
+    return {w for w in words if len(w) >= 3} | {b + "*" for of in beginnings.values() for b in of} | {b + "**" for b in families(words, beginnings)}
 
 
 def without_copies(train: DataFrame) -> DataFrame:
@@ -283,6 +307,14 @@ def without_copies(train: DataFrame) -> DataFrame:
     return rows.join(gone, ["r", "y"], "left_anti").select("t", "y")
 
 
+def covering(form: str) -> set[str]:
+    """Forms of every text that holds this one, other than itself."""
+    stem = form.rstrip("*")
+    shorter = {stem[:n] for n in LENGTHS if n <= len(stem)}
+    family = form.endswith("**")
+    return ({b + "*" for b in shorter} | ({b + "**" for b in shorter} if family else set())) - {form}
+
+
 def learn_forms(train: DataFrame) -> frozenset[str]:
     """Insult forms from rows (k, t, y); near copies count once."""
 
@@ -292,7 +324,7 @@ def learn_forms(train: DataFrame) -> frozenset[str]:
         for b in pieces(batches, "t"):
             for t, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist()):
                 rows[y] += 1
-                seen[y].update(forms(set(_WORDS(t.lower()))))
+                seen[y].update(forms(Counter(_WORDS(t.lower()))))
         every = ["", *(set(seen[0]) | set(seen[1]))]
         yield {"form": every, "clean": [rows[0], *(seen[0][f] for f in every[1:])], "toxic": [rows[1], *(seen[1][f] for f in every[1:])]}
 
@@ -306,7 +338,7 @@ def learn_forms(train: DataFrame) -> frozenset[str]:
     gain = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
     good = counted.filter("form != '' and toxic > 0").filter(share > base + (1 - base) * LEAST_LIFT).filter((F.col("toxic") + F.col("clean")) * gain > math.log(n_forms / ACCIDENT))
     found = {r["form"] for r in good.select("form").collect()}  # bounded by the training rows
-    return frozenset(f for f in found if not any(f.rstrip("*")[:n] + "*" in found for n in range(min(LENGTHS), len(f.rstrip("*")) + (not f.endswith("*")))))
+    return frozenset(f for f in found if not found & covering(f))
 
 
 @dataclass(frozen=True)

@@ -85,6 +85,25 @@ def test_quality_of_held_out_documents(spark):
     assert np.mean([truth[r["doc_id"]] == r["predicted"] for r in held]) > 0.95
 
 
+def test_families_of_word_forms(spark):
+    words = toxicity.Counter("grobian grobheit grober gut".split())
+    assert {f for f in toxicity.forms(words) if f.endswith("**")} == {"grob**"}
+    assert "grob**" not in toxicity.forms(toxicity.Counter({"grobian": 5, "gut": 1}))  # one word, however often
+    assert "grob**" in toxicity.forms(words + toxicity.Counter(gut=3 * toxicity.APART - 4))
+    assert "grob**" not in toxicity.forms(words + toxicity.Counter(gut=3 * toxicity.APART - 3))
+    grammar = toxicity.Grammar(frozenset(["grob**"]))
+    assert grammar.patterns("der grobian. grobheit!", {}) == {"F": 2}
+    assert not grammar.patterns("der grobian. grobian!", {})
+    assert toxicity.covering("grobia**") == {"grob*", "grobi*", "grobia*", "grob**", "grobi**"}
+    assert toxicity.covering("grobi") == {"grob*", "grobi*"}
+    letters = "abcdefghij"
+    texts = [" ".join(f"grob{letters[(i + k) % 10]}{'rs'[k]}" for k in range(2 if i < 30 else 1 if i < 60 else 0)) for i in range(300)]
+    rows = [(i, f"{t} gut {letters[i % 10]}{letters[i // 10 % 10]}q", int(i < 30)) for i, t in enumerate(texts)]
+    train = spark.createDataFrame(rows, "k int, t string, y int")
+    learned = toxicity.learn_forms(train)
+    assert "grob**" in learned and "grob*" not in learned
+
+
 def test_toxicity_of_held_out_documents(spark):
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     rows = toxicity.op10_toxicity(spark, SMALL).collect()
